@@ -21,6 +21,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.findings(_table(spark, sf_dir, "documents"), secrets.fit())
+
+
+def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tiff
+    from .blocks import prepare
+
+    prepare(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
+    media = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), tiff.stored_as_tiff("text").alias("media"))
+    return media.withColumn("got", tiff.digested("media")).select("doc_id", "n_bytes", "got.*")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import resampling
 
@@ -28,5 +44,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs, _table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "sample_key", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op9_quality_classifier)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_main
+
+    return html_main.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_secret_scans, op6_media_tiff, op9_quality_classifier, op10_html_extraction)}
 SQL: dict[str, str] = {}
