@@ -27,6 +27,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(_table(spark, sf_dir, "documents"), secrets.fit())
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pieces
+
+    return pieces.digests(_table(spark, sf_dir, "documents"), pieces.Vocabulary.load(f"{TOKENIZERS}/piece_bpe_32k.model"), k=2)
+
+
 def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tiff
     from .blocks import prepare
@@ -37,6 +43,12 @@ def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.withColumn("got", tiff.digested("media")).select("doc_id", "n_bytes", "got.*")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_files
+
+    return token_files.counts(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken").select("doc_id", "n_tokens")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import resampling
 
@@ -50,5 +62,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_secret_scans, op6_media_tiff, op9_quality_classifier, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_secret_scans, op5_sentencepiece, op6_media_tiff, op8_token_counts, op9_quality_classifier, op10_html_extraction)}
 SQL: dict[str, str] = {}
