@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
@@ -43,6 +49,12 @@ def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.withColumn("got", tiff.digested("media")).select("doc_id", "n_bytes", "got.*")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chosen_path
+
+    return chosen_path.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
 
@@ -62,5 +74,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_secret_scans, op5_sentencepiece, op6_media_tiff, op8_token_counts, op9_quality_classifier, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op4_secret_scans, op5_sentencepiece, op6_media_tiff, op7_jaccard_join, op8_token_counts, op9_quality_classifier, op10_html_extraction)}
 SQL: dict[str, str] = {}
