@@ -363,6 +363,12 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     return with_words.unionByName(rows.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_rows")))
 
 
+def representatives(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """The row with the least id of each class; of repeated rows one."""
+    first = join(docs, recall).where("doc_id <=> class_id").select(F.col("doc_id").alias("_first")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi").dropDuplicates(["doc_id"])
+
+
 def brute_force(texts: list[str | None], ids: list[int]) -> pd.DataFrame:
     """The same rows by comparing all pairs; for small fixtures."""
     sets = list(token_sets(texts))

@@ -19,6 +19,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats
+
+    return repeats.removed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
@@ -74,5 +80,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op4_secret_scans, op5_sentencepiece, op6_media_tiff, op7_jaccard_join, op8_token_counts, op9_quality_classifier, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_repeated_bytes, op3_language_id, op4_secret_scans, op5_sentencepiece, op6_media_tiff, op7_jaccard_join, op8_token_counts, op9_quality_classifier, op10_html_extraction)}
 SQL: dict[str, str] = {}
