@@ -107,7 +107,7 @@ def _counts(docs: DataFrame, good: frozenset) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": at, "raw": raw[at], "target": target[at]})
 
-    sums = docs.select("doc_id", "text").mapInPandas(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toPandas().to_numpy()  # BUCKETS rows at most
+    sums = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInPandas(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toPandas().to_numpy()  # BUCKETS rows at most
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[sums[:, 0].astype(int)], target[sums[:, 0].astype(int)] = sums[:, 1], sums[:, 2]
     return raw, target

@@ -67,10 +67,10 @@ def write(docs: DataFrame, vocabulary: str, path: str) -> None:
     @F.pandas_udf(BinaryType())
     def encoded(doc_id: pd.Series, text: pd.Series) -> pd.Series:
         bpe = tokenizer(vocabulary)
-        keys = key_ids(doc_id.fillna(-1).to_numpy().astype(np.int64))
+        keys = key_ids(doc_id.to_numpy())
         return pd.Series([k.tobytes() + (np.array(bpe.encode_ordinary(t), _ID).tobytes() if isinstance(t, str) else b"") for k, t in zip(keys, text, strict=True)], dtype=object)
 
-    docs.select(encoded("doc_id", "text").cast("string").alias("value")).write.option("lineSep", END_TEXT).option("compression", "none").text(path)
+    docs.select(encoded(F.coalesce("doc_id", F.lit(-1)).cast("long"), "text").cast("string").alias("value")).write.option("lineSep", END_TEXT).option("compression", "none").text(path)
 
 
 def separators(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray]:
