@@ -164,6 +164,7 @@ def labelled(n: int = 6000, seed: int = 7) -> list[tuple[str, int, int, int]]:
                 lambda: some(hexa, r.choice([32, 40, 40, 48, 64])), lambda: some(alnum, r.randint(16, 64)), lambda: base64.b64encode(r.randbytes(r.randint(15, 48))).decode().rstrip("="),
                 lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + some(alnum, 36), lambda: "xoxb-" + some(string.digits, 12) + "-" + some(alnum, 24), lambda: "AIza" + some(alnum + "-_", 35), lambda: "sk_live_" + some(alnum, 24),
                 lambda: "eyJ" + some(alnum, 20) + "." + some(alnum, 40) + "." + some(alnum + "-_", 43), lambda: some(alnum, r.randint(8, 14)) + r.choice("0123456789"),
+                lambda: "-----BEGIN PRIVATE KEY-----\n" + "\n".join(some(alnum + "+/", 64) for _ in range(r.randint(0, 6))) + "\n" + some(alnum, r.randint(3, 40)) + "=\n-----END PRIVATE KEY-----",
             ]
         )()
 
