@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DEFAULT, Settings
 from ..functions import text as T
@@ -26,14 +27,14 @@ def similarities_by_matrix(queries: DataFrame, vectors: DataFrame, keep: int | N
     rows = queries.where(F.col("vector").isNotNull()).select("query_id", "vector").collect()
     out = None
     for i in range(0, len(rows), QUERIES_AT_ONCE):
-        ids = np.array([r.query_id for r in rows[i : i + QUERIES_AT_ONCE]])
+        ids = pa.array([r.query_id for r in rows[i : i + QUERIES_AT_ONCE]], to_arrow_type(queries.schema["query_id"].dataType))
         m = np.array([r.vector for r in rows[i : i + QUERIES_AT_ONCE]], np.float64)
         n = np.linalg.norm(m, axis=1, keepdims=True)
         m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
         def run(batches, ids=ids, m=m):
             for b in batches:
-                keys = b.column(0).to_numpy(zero_copy_only=False)
+                keys = b.column(0)
                 v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64) if b.num_rows else np.zeros((0, m.shape[1]))
                 n = np.linalg.norm(v, axis=1, keepdims=True)
                 s = m @ np.divide(v, n, out=np.zeros_like(v), where=n > 0).T
@@ -43,7 +44,7 @@ def similarities_by_matrix(queries: DataFrame, vectors: DataFrame, keep: int | N
                     q, k = np.nonzero(s >= bar[:, None])
                 else:
                     q, k = np.divmod(np.arange(s.size), max(s.shape[1], 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[k]), pa.array(s[q, k])], names=["query_id", "chunk_key", "score"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), keys.take(pa.array(k)), pa.array(s[q, k])], names=["query_id", "chunk_key", "score"])
 
         types = f"query_id {dict(queries.dtypes)['query_id']}, chunk_key {dict(vectors.dtypes)['chunk_key']}, score double"
         part = vectors.select("chunk_key", "embedding").mapInArrow(run, types)

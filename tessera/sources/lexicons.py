@@ -73,7 +73,7 @@ def exemplars(spark: SparkSession, path: str, heads: DataFrame) -> DataFrame:
 def layers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Procedure layers (series, ord, technology, per_layer, prefer, label) and technology aliases (ord, alias, technology)."""
     rows = _columns(lines(spark, path), -1).withColumn("kind", F.lower(_at(0)))
-    prefer = F.filter(F.transform(F.split(_at(5, "-"), ","), F.trim), lambda x: (x != "") & (x != "-"))
+    prefer = F.filter(F.transform(F.split(_at(5, "-"), ","), lambda x: F.trim(x)), lambda x: (x != "") & (x != "-"))
     out = rows.where("kind = 'layer' and n >= 7").select(_at(1).alias("series"), _at(2).try_cast("int").alias("ord"), F.lower(_at(3)).alias("technology"), _at(4).try_cast("int").alias("per_layer"), prefer.alias("prefer"), _at(6).alias("label"))
     return out.where("ord is not null and per_layer is not null"), rows.where("kind = 'alias' and n >= 3").select("ord", F.lower(_at(1)).alias("alias"), F.lower(_at(2)).alias("technology"))
 
