@@ -44,10 +44,10 @@ def mmr(df: DataFrame, picks: int, lam: float) -> DataFrame:
     def add(chosen, _):
         def value(x):
             near = F.array_max(F.transform(chosen, lambda c: T.jaccard(c["t"], x["t"])))
-            return F.struct((F.lit(lam) * x["score"] - F.lit(1 - lam) * F.coalesce(near, F.lit(0.0))).alias("v"), (-x["i"]).alias("o"), x.alias("x"))
+            return F.struct((F.lit(lam) * x["score"] - F.lit(1 - lam) * F.coalesce(near, F.lit(0.0))).alias("v"), (-x["i"]).alias("o"))
 
         left = F.filter("a", lambda x: ~F.exists(chosen, lambda c: c["i"] == x["i"]))
-        best = F.array_max(F.transform(left, lambda x: F.struct(value(x)["v"].alias("v"), value(x)["o"].alias("o"))))
+        best = F.array_max(F.transform(left, value))
         found = F.filter(left, lambda x: x["i"] == -best["o"])
         return F.when(F.size(left) == 0, chosen).otherwise(F.concat(chosen, F.slice(found, 1, 1)))
 
