@@ -73,6 +73,18 @@ class Settings:
 
 DEFAULT = Settings()
 
-#: Lexicons of the default configuration; sources.lexicons reads others from files.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "with")
-LEAD_INS = ("what is the", "what is", "what are", "how does", "how do", "how is", "explain", "describe", "tell me about")
+#: Fixed values that results depend on; sources.lexicons reads other lists from files.
+STOP_WORDS = tuple(
+    "what how does when where which who why explain describe tell list find show give resolve can could should would do is are was were "
+    "the and for but not with this that from they will have has had been may might into onto over upon after before during since until while also then to of in on at by an or "
+    "shall section clause table figure refer according following above below see per defined specified based used using given "
+    "causing caused causes leads leading triggers triggered results occurs happens makes gets becomes "
+    "nokia ericsson huawei samsung zte".split()
+)
+#: Lead-ins of questions, as patterns.
+LEAD_INS = (r"how\s+(?:to|do|does|can|should|would)", r"what\s+(?:is|are|does)", r"why\s+(?:is|are)", r"explain\s+", r"describe\s+", r"tell\s+me\s+(?:about|how)", r"find\s+", r"show\s+me\s+", r"give\s+me\s+")
+#: Keys of request envelopes, and path elements that say nothing.
+ENVELOPE_KEYS = ("query", "question", "q", "text", "prompt", "search")
+PATH_NOISE = ("attributes", "configdata", "bulkcmconfigdatafile", "from", "then")
+#: The forms of valid filters.
+FILTER_FORMS = {"release": r"(?i)^Rel-\d{1,2}$", "series": r"(?i)^(?:[0-9]{2}|[A-Z]|CISCO|JUNIPER|NOKIA|MIB|RFC|ETSI-NFV|ETSI NFV|ITU-T|ITU-T-G|GSMA|O-RAN|TM-Forum|MEF)$", "doc_type": r"(?i)^(?:TS|TR|REC|RFC|GS|SPEC|CLI|YANG)$"}

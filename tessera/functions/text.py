@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, LEAD_INS, STOP_WORDS, Settings
+from ..config import DEFAULT, ENVELOPE_KEYS, FILTER_FORMS, LEAD_INS, PATH_NOISE, STOP_WORDS, Settings
 
 #: A token of the text index: letters and digits of any alphabet.
 TOKEN = r"[\p{L}\p{N}]+"
@@ -66,7 +66,7 @@ def expand(q: Column, glossary: dict[str, str]) -> Column:
 
 
 def strip_question(q: Column) -> Column:
-    return F.trim(F.regexp_replace(q, r"(?i)^\s*(?:" + "|".join(LEAD_INS) + r")\s+", ""))
+    return F.trim(F.regexp_replace(q, r"(?i)^(?:" + "|".join(LEAD_INS) + r")\s*", ""))
 
 
 def release_of(q: Column) -> Column:
@@ -169,7 +169,7 @@ def sentences(text: Column) -> Column:
 
 def verbosity(v: Column) -> Column:
     x = F.lower(F.trim(F.coalesce(v, F.lit(""))))
-    return F.when(x.isin("brief", "short", "concise", "minimal"), "BRIEF").when(x.isin("full", "long", "detailed", "verbose"), "FULL").otherwise("NORMAL")
+    return F.when(x.isin("brief", "short", "terse"), "BRIEF").when(x.isin("full", "raw", "all"), "FULL").otherwise("NORMAL")
 
 
 def clamp(x: Column, default: int, lo: int, hi: int) -> Column:
@@ -188,7 +188,8 @@ def list_items(q: Column) -> Column:
     """The items of a query that is a list: at least three by comma or line, all short and no question; else null."""
     items = F.filter(F.transform(F.split(q, "[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
     fits = F.forall(items, lambda x: (F.length(x) <= 60) & (F.size(F.split(x, r"\s+")) <= 8) & ~x.contains("?"))
-    return F.when((F.size(items) >= 3) & fits, items)
+    t = F.trim(q)
+    return F.when((F.size(items) >= 3) & fits & ~t.startswith("{") & ~t.endswith("?"), items)
 
 
 def extras_weight(series: Column, q: Column, terms: list[str], s: Settings = DEFAULT) -> Column:
@@ -211,12 +212,37 @@ def digest(x: Column) -> Column:
 
 def unwrap(q: Column) -> Column:
     """The text in a small JSON envelope: the first of six keys that isn't blank; else the query."""
-    got = F.coalesce(*[F.nullif(F.trim(F.get_json_object(q, f"$.{k}")), F.lit("")) for k in ("query", "question", "text", "message", "prompt", "input")])
+    got = F.coalesce(*[F.nullif(F.trim(F.get_json_object(q, f"$.{k}")), F.lit("")) for k in ENVELOPE_KEYS])
     return F.when((F.length(q) <= 2000) & q.startswith("{"), F.coalesce(got, q)).otherwise(q)
 
 
 def object_context(path: Column, name: Column) -> Column:
     """The last levels of a managed-object path without namespaces and the parameter itself: two if it had namespaces, else three."""
-    parts = F.filter(F.transform(F.split(path, "/"), lambda x: F.regexp_replace(F.trim(x), "^.*:", "")), lambda x: (x != "") & (F.lower(x) != F.lower(name)))
+    parts = F.filter(F.transform(F.split(path, "/"), lambda x: F.trim(F.regexp_replace(x, "^.*:", ""))), lambda x: (x != "") & ~F.lower(x).isin(*PATH_NOISE) & (F.lower(x) != F.lower(name)))
     n = F.when(path.contains(":"), 2).otherwise(3)
     return F.when(F.size(parts) > n, F.slice(parts, -n, n)).otherwise(parts)
+
+
+def document_reason(q: Column) -> Column:
+    """Why an input is a document rather than a query (long, json, xml, lines); null if it isn't."""
+    t = F.trim(q)
+    wrapped = (t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]"))
+    lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    return F.when(F.length(t) > 600, "long").when(wrapped, F.when(F.length(t) > 300, "json")).when(t.startswith("<?xml") | (t.startswith("<") & t.endswith(">") & t.contains("</")), "xml").when(lines > 8, "lines")
+
+
+def coverage_note(reply: Column) -> Column:
+    """The leading paragraph about partial coverage; null if there is none."""
+    return F.nullif(collapse(F.regexp_extract(F.ltrim(reply), r"(?s)^(Partial coverage: .+?)(?:\n\s*\n|\z)", 1)), F.lit(""))
+
+
+def valid_filter(kind: str, value: Column) -> Column:
+    """The value of a filter if it has the form of one; else null. Blank values are no filters."""
+    v = F.trim(value)
+    return F.when(v.rlike(FILTER_FORMS[kind]), v)
+
+
+def ignored_filters(values: dict[str, Column]) -> Column:
+    """The names of filters whose values are set but not valid."""
+    bad = [F.when((F.coalesce(F.trim(v), F.lit("")) != "") & valid_filter(k, v).isNull(), F.lit(k)) for k, v in values.items()]
+    return F.filter(F.array(*bad), lambda x: x.isNotNull())

@@ -335,7 +335,7 @@ _LEADS = "|".join(LEAD_INS)
 
 
 @register(
-    rf"""SELECT conv_id, turn, trim(regexp_replace('What is ' || text, '^\s*(?:{_LEADS})\s+', '', 'i'), ' ') AS stripped, lower(regexp_replace(text, '[^A-Za-z0-9-]', '', 'g')) AS cleaned, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS collapsed, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '…' ELSE text END AS capped FROM conversations"""
+    rf"""SELECT conv_id, turn, trim(regexp_replace('What is ' || text, '^(?:{_LEADS})\s*', '', 'i'), ' ') AS stripped, lower(regexp_replace(text, '[^A-Za-z0-9-]', '', 'g')) AS cleaned, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS collapsed, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '…' ELSE text END AS capped FROM conversations"""
 )
 def text_functions(spark, sf):
     t = F.col("text")

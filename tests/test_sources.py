@@ -73,7 +73,7 @@ def value(spark, column):
 @pytest.mark.parametrize(
     ("column", "want"),
     [
-        (lambda: T.search_terms(F.lit("What is the N2-AMF  timer, timer? a")), ["n2-amf", "timer"]),
+        (lambda: T.search_terms(F.lit("What is the N2-AMF  timer, timer? b")), ["n2-amf", "timer"]),
         (lambda: T.and_terms(F.array(*map(F.lit, ["registration", "t3", "cell", "a-b"])), F.array(F.lit("cell")), 3), ["cell", "t3", "a-b"]),
         (lambda: T.and_terms(F.array(*map(F.lit, ["t1", "t2", "t3", "t4", "x"])), F.array().cast("array<string>"), 3), ["t1", "t2", "t3", "t4"]),
         (lambda: T.round_to(F.lit(0.00015)), 0.0001),
@@ -99,6 +99,11 @@ def value(spark, column):
         (lambda: T.unwrap(F.lit('{"question": "x y"}')), "x y"),
         (lambda: T.extras_weight(F.lit(None).cast("string"), F.lit("sip rfc"), ["rfc"]), 1.3),
         (lambda: T.extras_weight(F.lit(None).cast("string"), F.lit("arfcn"), ["rfc"]), 0.5),
+        (lambda: T.document_reason(F.lit("<a>x</a>")), "xml"),
+        (lambda: T.document_reason(F.lit('{"a": 1}')), None),
+        (lambda: T.coverage_note(F.lit("Partial coverage: a\n b.\n\nrest")), "Partial coverage: a b."),
+        (lambda: T.ignored_filters({"release": F.lit("admin"), "series": F.lit("38"), "doc_type": F.lit(" ")}), ["release"]),
+        (lambda: T.object_context(F.lit("/a/ioc:SIB1/ioc:Sched/ioc:attributes/ioc:si-P"), F.lit("si-P")), ["SIB1", "Sched"]),
         (lambda: T.unit(F.array(F.lit(0.0), F.lit(0.0))), [0.0, 0.0]),
     ],
 )
