@@ -36,7 +36,7 @@ from .blocks import mix, prepare, slices
 
 #: Log weights are -SHARPNESS * log(rank + 2).
 SHARPNESS = 1.0
-#: A branch is open only where the path so far has at least this log probability: no noise of 53 bits lifts a later one to the top.
+#: A branch is open only where the path so far has at least this log probability: no noise lifts a later one to the top.
 _OPEN = -100.0
 _UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -95,7 +95,7 @@ def _hash_string(s: str) -> int:
 class Lattice:
     """The lattices of all units, end to end: nodes are characters and the end of each unit; edges are sorted by the node they leave."""
 
-    def __init__(self, units: list[str], v: Vocabulary) -> None:
+    def __init__(self, units: list[str], v: Vocabulary, base: Lattice | None = None) -> None:
         hashes, ids, bits = v.tables()
         lengths = np.array([len(u) for u in units], np.int32)
         chars = np.frombuffer("".join(units).encode("utf-32-le", "replace"), "<u4")
@@ -160,12 +160,37 @@ class Lattice:
             sums = np.add.reduceat(np.exp(x - most[np.cumsum(new) - 1]), starts)
             self.beta[s[starts]] = most + np.log(sums)
         self.logp = w + self.beta[self.dst] - self.beta[self.src]
+        self.logp32 = self.logp.astype(np.float32)
+        if base is not None:
+            self._append_to(base)
+
+    def _append_to(self, base: Lattice) -> None:
+        """Puts another lattice before this one."""
+        n, e, o = np.int32(len(base.last)), np.int32(len(base.dst)), len(base.odd)
+        self.piece = np.where(self.piece < 0, self.piece - o, self.piece).astype(np.int32)
+        for name, more in (("first", n), ("dst", n), ("edge", e), ("piece", 0), ("odd", 0), ("count", 0), ("last", 0), ("logp", 0), ("logp32", 0)):
+            old, own = getattr(base, name), getattr(self, name)
+            setattr(self, name, np.concatenate([old, own + np.array(more, own.dtype) if more else own]))
+        del self.src, self.beta
 
 
 def _gumbel(h: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(((mix(h) >> np.uint64(12)).astype(np.float64) + 0.5) * (1.0 / (1 << 52))))
 
 
+def _noise(h: np.ndarray) -> np.ndarray:
+    """Gumbel noise of 24 bits from numbers that are mixed already but for one round."""
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    u = (h >> np.uint64(40)).astype(np.float32)
+    u += np.float32(0.5)
+    u *= np.float32(1.0 / (1 << 24))
+    np.log(u, out=u)
+    np.negative(u, out=u)
+    np.log(u, out=u)
+    return np.negative(u, out=u)
+
+
 def _draw(lat: Lattice, token: np.ndarray, node: np.ndarray, key: np.ndarray, step: np.ndarray):
     """Follows the largest perturbed edges from each node to its unit's end. Yields for each round: tokens, steps, chosen edges, and of all edges their index, their round's token and perturbed value."""
     live = ~lat.last[node]
@@ -177,7 +202,7 @@ def _draw(lat: Lattice, token: np.ndarray, node: np.ndarray, key: np.ndarray, st
         nth = np.arange(len(rep), dtype=np.int32) - offs[rep]
         edge = nth + lat.edge[node][rep]
         salt = (key + step.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[rep] + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-        value = lat.logp[edge] + _gumbel(salt)
+        value = lat.logp32[edge] + _noise(salt)
         top = np.maximum.reduceat(value, offs)
         best = np.flatnonzero(value == top[rep])
         if len(best) != len(token):
@@ -302,6 +327,11 @@ def _sample(lat: Lattice, of_token: np.ndarray, n: int, node: np.ndarray, key: n
     return paths, threshold
 
 
+#: Units whose lattice a process keeps: those of the first texts it gets, as common words come soon.
+_KEPT_UNITS = 100_000
+_kept: dict[int, tuple[Vocabulary, dict[str, int], Lattice]] = {}
+
+
 class _Numbers(dict):
     def __missing__(self, unit: str) -> int:
         self[unit] = n = len(self)
@@ -326,7 +356,9 @@ def _log_inclusion(logp: float, threshold: float) -> float:
 
 def segment(texts: list[str | None], keys: list[int], v: Vocabulary, k: int, seed: int = 0) -> Iterator[list[Segmentation]]:
     """For each text its drawn segmentations, the one with the largest value first."""
-    names = _Numbers()
+    kept = _kept.get(id(v))
+    names = _Numbers(kept[1] if kept else {})
+    known = len(names)
     tokens, of = [], []
     for t in texts:
         found = _UNIT.findall(" " + t) if t else []
@@ -338,7 +370,12 @@ def segment(texts: list[str | None], keys: list[int], v: Vocabulary, k: int, see
         for x in _gumbel(key + np.uint64(0x5851F42D4C957F2D)).tolist():
             yield [Segmentation(np.empty(0, np.int32), 0.0, x, 0.0)]
         return
-    lat = Lattice(list(names), v)
+    lat = kept[2] if kept else None
+    if len(names) > known:
+        lat = Lattice(list(names)[known:], v, lat)
+    if known < _KEPT_UNITS // 2:
+        _kept.clear()
+        _kept[id(v)] = (v, dict(names), lat)
     of_token = np.repeat(np.arange(n), of)
     paths, threshold = _sample(lat, of_token, n, lat.first[np.array(tokens)], key, k)
     odd = [[v.bytes_[b] for b in chr(c).encode(errors="replace")] for c in lat.odd.tolist()]
