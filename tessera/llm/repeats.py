@@ -163,6 +163,7 @@ def decide(cells: DataFrame) -> DataFrame:
     `open` marks the cells that go on to the next round: those whose span is alone, and, where their core has such, one cell of each
     span that isn't, as the others' partner.
     """
+    cells = stored(cells, "cells")  # read three times
     where = F.struct(*[c for c in ("key", "at", "q", "i") if c in cells.columns])
     spans = cells.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(where).alias("first"))
     cores = spans.groupBy("core").agg(F.sum("n").alias("cores"), F.sum((F.col("n") == 1).cast("long")).alias("alone")).where("cores > 1")
