@@ -172,6 +172,8 @@ def labelled(n: int = 6000, seed: int = 7) -> list[tuple[str, int, int, int]]:
         name = r.choice([r.choice(SECRET_WORDS), word() + "_" + r.choice(SECRET_WORDS), r.choice(["api_key", "access_token", "secret_key", "db_password", "auth_token", "API_KEY", "SECRET", "Token"])])
         q = r.choice(['"', "'", "", '"'])
         form = r.randrange(5)
+        if value.startswith("-----") and form:
+            return r.choice(["", prose(3) + "\n"]), r.choice(["", "\n" + prose(3)])
         if form == 4 and len(value) >= 20:
             return r.choice(["Authorization: Bearer ", "the key is ", "use token ", "login with secret "]), " " + prose(2)
         return prose(r.randint(0, 6)) + " " + name + r.choice([" = ", "=", ": ", '": ', " := "]) + q, q + r.choice([" ", "\n", "", ";", "### "]) + prose(r.randint(0, 4))
