@@ -102,28 +102,33 @@ def token_sets(texts: list[str | None]):
             yield np.unique(s[ends[i] : ends[i + 1]])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key and text. An id need not name a single text, and may be null; with the key it names a text."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
+
+
 def _features(docs: DataFrame, roots: np.ndarray) -> DataFrame:
-    """doc_id, node (a hash of the set; null without words), n, sketch, and paths by level; those of one row for each set and batch."""
+    """doc_id, key (a hash of the text), node (a hash of the set; null without words), n, sketch, and paths by level; those of one row for each set and batch."""
     longs = pa.list_(pa.int64())
-    names = ["doc_id", "node", "n", "sketch", "path1", "up2", "path2", "up3", "path3"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[longs] * 5]
+    names = ["doc_id", "key", "node", "n", "sketch", "path1", "up2", "path2", "up3", "path3"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[longs] * 5]
 
     def run(batches):
         for part, texts in slices(batches, "text"):
-            ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
+            ids, keys = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "key"))
             rows, seen = [], {}
-            for i, t in zip(ids, token_sets(texts), strict=True):
+            for i, key, t in zip(ids, keys, token_sets(texts), strict=True):
                 if not len(t):
-                    rows.append((i, None, 0, *[None] * 6))
+                    rows.append((i, key, None, 0, *[None] * 6))
                     continue
                 node = int(mix(np.array([(int(np.bitwise_xor.reduce(t)) * 3 + int(t.sum(dtype=np.uint64)) + len(t)) % (1 << 64)], np.uint64)).view(np.int64)[0])
                 if node not in seen:
                     (_, p1), (u2, p2), (u3, p3) = paths_of(t, roots)
                     seen[node] = (node, len(t), sketch(t).tobytes(), *[x.view(np.int64) for x in (p1, u2, p2, u3, p3)])
-                rows.append((i, *seen[node]))
+                rows.append((i, key, *seen[node]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n long, sketch binary, path1 array<long>, up2 array<long>, path2 array<long>, up3 array<long>, path3 array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, key long, node long, n long, sketch binary, path1 array<long>, up2 array<long>, path2 array<long>, up3 array<long>, path3 array<long>")
 
 
 def _leaves(sets: DataFrame) -> DataFrame:
@@ -295,14 +300,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 CELL_ROW = "path long, x long, y long, node long, part long, n long, copies long, sketch binary, leaves array<long>"
 
 
-def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """One row (doc_id, class_id, n_links, class_rows) for each row: the least id of its component, the number of other rows that are similar to it, and the component's rows."""
+def _named(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The features of all rows, and for each set (node, first, copies, links, label): first is its row of the least id, nulls last, and label its component."""
     spark = docs.sparkSession
     prepare(spark)
     roots = _odd(runs_for(recall), 4242)
     rows = stored(_features(docs, roots), "features")
     some = rows.where("node is not null")
-    sets = stored(some.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first(F.struct("n", "sketch", *[c for c in rows.columns if c[:2] in ("pa", "up")])).alias("s")).select("node", "first_id", "copies", "s.*"), "sets")
+    sets = stored(some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"), F.count("*").alias("copies"), F.first(F.struct("n", "sketch", *[c for c in rows.columns if c[:2] in ("pa", "up")])).alias("s")).select("node", "first", "copies", "s.*"), "sets")
     leaves = _leaves(sets)
     of = leaves.groupBy("node").agg(F.array_sort(F.collect_set("path")).alias("leaves"), F.collect_set(F.struct("path", "size")).alias("b"))
     members = of.join(sets.select("node", "n", "copies", "sketch"), "node").select("node", "n", "copies", "sketch", "leaves", F.explode("b").alias("b")).select("node", "n", "copies", "sketch", "leaves", "b.path", "b.size")
@@ -318,9 +323,8 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     kept = stored(by_cell(cells).mapInArrow(maybe, CELL_ROW), "cells")
     # the texts of sets that have a pair, one row for each set
     asked = kept.groupBy("node").agg(F.collect_list(F.struct("path", "x", "y", "part", "n", "copies", "sketch", "leaves")).alias("cells"))
-    ids = asked.join(sets.select("node", "first_id"), "node")
-    texts = rows.where("node is not null").select("doc_id", "node").join(ids.select("node", "first_id"), "node").where("doc_id <=> first_id").select("doc_id", "node").dropDuplicates(["node"])
-    found = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(texts.withColumnRenamed("node", "want"), "doc_id")
+    wanted = asked.select("node").join(sets.select("node", "first"), "node").select(F.col("node").alias("want"), F.col("first.doc_id").alias("want_id"), F.col("first.key").alias("want_key"))
+    found = _keyed(docs).where("text is not null").join(wanted, F.expr("doc_id <=> want_id AND key = want_key"))
 
     def tokens(batches):
         for part, texts_ in slices(batches, "text"):
@@ -356,17 +360,24 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     counted = stored(by_cell(full).mapInArrow(verify, "node long, root long, links long"), "links")
     per_node = counted.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(per_node.select("node"), counted.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
-    named = sets.join(per_node, "node", "left").join(labels, "node", "left").select("node", "first_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
-    groups = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_rows"))
+    return rows, sets.join(per_node, "node", "left").join(labels, "node", "left").select("node", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "node").alias("label"))
+
+
+def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """One row (doc_id, class_id, n_links, class_rows) for each row: the least id of its component, the number of other rows that are similar to it, and the component's rows."""
+    rows, named = _named(docs, recall)
+    groups = named.groupBy("label").agg(F.min("first.doc_id").alias("class_id"), F.sum("copies").alias("class_rows"))
     classes = named.join(groups, "label").select("node", "class_id", "class_rows", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    with_words = some.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "n_links", "class_rows")
+    with_words = rows.where("node is not null").select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "n_links", "class_rows")
     return with_words.unionByName(rows.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_rows")))
 
 
 def representatives(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """The row with the least id of each class; of repeated rows one."""
-    first = join(docs, recall).where("doc_id <=> class_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi").dropDuplicates(["doc_id"])
+    """The row with the least id of each class, nulls last; of rows that repeat an id and its text one."""
+    rows, named = _named(docs, recall)
+    first = named.groupBy("label").agg(F.min("first").alias("f")).select(F.col("f.doc_id").alias("_first"), F.col("f.key").alias("_key"))
+    first = first.unionByName(rows.where("node is null").select(F.col("doc_id").alias("_first"), F.col("key").alias("_key"))).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]) & (F.xxhash64(docs["text"]) == first["_key"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def brute_force(texts: list[str | None], ids: list[int]) -> pd.DataFrame:

@@ -165,6 +165,19 @@ def test_join_odd_rows(odd, none, clash):
     assert kept.columns == clash.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
 
 
+def test_join_without_unique_ids(spark):
+    """Rows that share an id, or have none, are told apart by their texts."""
+    near = lambda seed: words(80, seed) + " end"
+    rows = [(None, words(80, 40)), (None, near(40)), (None, words(80, 41)), (None, None), (1, words(80, 42)), (1, words(80, 43)), (1, near(43)), (1, words(80, 43)), (2, words(80, 44)), (None, near(44))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links, r.class_rows) for r in chosen_path.join(docs).collect())
+    none, one = ("None", "None"), ("1", "1")
+    assert got == sorted([(*none, 1, 2), (*none, 1, 2), (*none, 0, 1), (*none, 0, 1), (*one, 0, 1), (*one, 2, 3), (*one, 2, 3), (*one, 2, 3), ("2", "2", 1, 2), ("None", "2", 1, 2)])
+    kept = [tuple(r) for r in chosen_path.representatives(docs).collect()]
+    assert len(kept) == 6 and {(None, words(80, 41)), (None, None), (1, words(80, 42)), (2, words(80, 44))} <= set(kept)
+    assert len({(None, words(80, 40)), (None, near(40))} & set(kept)) == len({(1, words(80, 43)), (1, near(43))} & set(kept)) == 1
+
+
 def test_join_by_brute_force(spark, monkeypatch):
     r = random.Random(3)
     base = [words(80, i) for i in range(4)]
