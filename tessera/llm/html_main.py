@@ -9,7 +9,9 @@ that holds nearly all marked text, so that short paragraphs of an article stay.
 
 Elements that never hold main text (menus, page headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments) are known by tag, role or class and left out with all they contain;
-an article element, where there is one, bounds the search.
+where there are article elements, their blocks are the candidates, and the scores select the article and drop
+its paths of links. Short unlinked paths of the selected article stay, whatever their score: a low score doesn't tell titles and
+lists from boilerplate.
 
 Defined results: null or empty html gives an empty text. Text without any tag is one block. Character
 references are decoded once. White space inside a block becomes one space. Whole pages are read.
@@ -225,21 +227,21 @@ def main_text(html: str | None) -> str:
     for b in marked:
         for e in b[0]:
             held[e] += len(b[2])
-    if page.articles and inner:
-        bound = [e for e in page.articles if held[e]]
-        if len(bound) == 1 or len({page.articles[e] for e in bound}) == 1:
-            return "\n".join(b[2] for b in blocks)  # what stands in the article elements
-    root = [e for e in (marked[0][0] if marked else ()) if held[e] >= HELD * total]
+    # elements that hold nearly all marked text are nested, so the longest chain has them all
+    root = max(([e for e in b[0] if held[e] >= HELD * total] for b in marked), key=len, default=[])
     deepest = root[-1] if root else None
-    if deepest is not None and not any(b[0] and b[0][-1] != deepest and deepest in b[0] for b in blocks) and len(root) > 1 and len(marked) < len(blocks):
+    within = [e for e in root if e in page.articles]
+    if within:
+        deepest = within[-1]  # the title and short parts of an article may stand beside the element of its longest part
+    elif deepest is not None and not any(b[0] and b[0][-1] != deepest and deepest in b[0] for b in blocks) and len(root) > 1 and len(marked) < len(blocks):
         deepest = root[-2]
     kept = [b for b, s in zip(blocks, got, strict=True) if deepest is None or deepest in b[0]]
-    # within it, only paths of links are left out
+    # within it, only paths of links are left out, a linked title not
     linky: dict = defaultdict(lambda: [0, 0])
     for b in kept:
         linky[b[1]][0] += b[3]
         linky[b[1]][1] += len(b[2])
-    return "\n".join(b[2] for b in kept if linky[b[1]][0] <= 0.6 * linky[b[1]][1] or len(linky) == 1)
+    return "\n".join(b[2] for b in kept if linky[b[1]][0] <= 0.6 * linky[b[1]][1] or len(linky) == 1 or b[1][-1:] == ("h1",))
 
 
 @F.pandas_udf(StringType())

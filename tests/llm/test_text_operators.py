@@ -405,3 +405,15 @@ def test_html_blocks_of_articles(spark, sf):
         a = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         parts = [re.sub(r"\s+", " ", unescape(re.sub("<[^>]*>", "", x.replace("<br>", " ")))).strip() for x in re.split(r"</?(?:p|h1)>", a)]
         assert html_main.main_text(r.html) == "\n".join(x for x in parts if x)
+
+
+def test_html_scores_select_within_articles():
+    """Path scores choose among articles, and drop link lists in them."""
+    long = "A long paragraph, with commas, and more; it ends here. " * 8
+    story = f"<article><h1><a href=x>Title</a></h1><p>{long}</p><p>Short.</p><div><p>Nested, too.</p></div><ul class=box><li><a href=x>One more story</a><li><a href=x>And another</a></ul></article>"
+    want = f"Title\n{long.strip()}\nShort.\nNested, too."
+    assert html_main.main_text(f"<body>{story}</body>") == want
+    others = "<div><article><h2><a href=x>Another story</a></h2><p>Read on</p></article><article><p>Five of the best</p></article></div>"
+    assert html_main.main_text(f"<body>{story}{others}</body>") == html_main.main_text(f"<body>{others}{story}</body>") == want
+    assert html_main.main_text(f"<main>{story}{others}</main>") == want
+    assert html_main.main_text(f"<article><p>{long}</p><p>Ok.</p></article>") == f"{long.strip()}\nOk."
