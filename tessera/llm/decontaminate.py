@@ -11,8 +11,12 @@ that many items share weigh less.
 A window without any shingle of any item has similarity 0, so fingerprints are only made for windows
 that overlap such a shingle; this loses nothing and keeps clean text cheap.
 
-At a true similarity of 0.8, the two fingerprints are expected to differ in 13 of 64 bits with a deviation of
-3.2, so RADIUS = 23 passes all but one in a thousand of the weakest pairs.
+Where all shingles of an item weigh the same, at a true similarity of 0.8 the two fingerprints are expected to differ in
+13 of 64 bits with a deviation of 3.2, so RADIUS = 23 passes all but about one in a thousand of the weakest pairs. Where
+weights differ (items share boilerplate) or shingles repeat, fingerprints of similar texts can lie further apart. So the
+least cosine that a similarity of 0.8 allows is worked out for each item, and items for which it is below 0.8 are uneven. These
+are found by a list of their heaviest shingles as well: those that together hold over a fifth of the item's weight, of which any
+similar window has one. That loses nothing.
 
 The index of items goes to every task. Its size is bounded: benchmarks with more than SLICE items are
 searched in several passes, each with the items of one slice.
@@ -72,6 +76,7 @@ class Index:
     filter: np.ndarray
     by_size: dict[int, tuple]
     short: dict[int, dict[int, list]]
+    lists: dict[int, list]
 
     def hits(self, s: np.ndarray) -> np.ndarray:
         """Positions of shingles that some item has."""
@@ -82,6 +87,17 @@ class Index:
         return maybe[self.known[at] == s[maybe]]
 
 
+def least_cosine(w: np.ndarray, most: float) -> float:
+    """A bound of the cosine of an item (the weights of its shingles) with a window of similarity SIMILAR, whose foreign shingles weigh at most most."""
+    w = np.sort(w.astype(np.float64))
+    lost = (1 - SIMILAR) * w.sum() + 1e-9
+    foreign = int((np.cumsum(w) <= lost).sum())
+    heavy = w[::-1]
+    take = np.clip((lost - np.concatenate([[0], np.cumsum(heavy)[:-1]])) / heavy, 0, 1)
+    own = float((heavy * heavy * (1 - take)).sum())
+    return float(own / np.sqrt((w * w).sum() * (own + foreign * most * most)))
+
+
 def build(items: list[tuple]) -> Index:
     """The index of (item_id, text) pairs."""
     items = [(i, t) for i, t in items if t]
@@ -101,17 +117,27 @@ def build(items: list[tuple]) -> Index:
     groups = defaultdict(list)
     for i, s in long:
         groups[len(s)].append((i, s))
-    by_size = {}
+    most = float(np.log1p(max(len(long), 1)))
+    by_size: dict[int, tuple] = {}
+    lists: dict[int, list] = defaultdict(list)
     for m, group in groups.items():
         prints, exact = [], []
-        for _, s in group:
+        for j, (_, s) in enumerate(group):
             w = np.array([weight[x] for x in s.tolist()], np.float32)
             prints.append(_pack((_bits(s) * w[:, None]).sum(0)[None])[0])
             exact.append((Counter(s.tolist()), float(w.sum())))
+            counts, total = exact[-1]
+            if len(counts) < m or least_cosine(w, most) < SIMILAR - 1e-6:
+                held = 0.0
+                for x in sorted(counts, key=lambda x: (-weight[x], x)):
+                    lists[x].append((m, j))
+                    held += counts[x] * weight[x]
+                    if held > (1 - SIMILAR) * total + 1e-6 * total:
+                        break
         prints = np.array(prints)
         near = np.array([_POP[np.arange(256, dtype=np.uint8)[:, None] ^ prints[None, :, b]] <= RADIUS // BLOCKS for b in range(BLOCKS)])
         by_size[m] = ([i for i, _ in group], prints, near, exact)
-    return Index(weight, float(np.log1p(max(len(long), 1))), known, filter_, by_size, {k: dict(v) for k, v in short.items()})
+    return Index(weight, most, known, filter_, by_size, {k: dict(v) for k, v in short.items()}, dict(lists))
 
 
 def _regions(hits: np.ndarray, reach: int, end: int) -> list[tuple[int, int]]:
@@ -121,6 +147,15 @@ def _regions(hits: np.ndarray, reach: int, end: int) -> list[tuple[int, int]]:
     return list(zip(lo[new].tolist(), np.append(hi[new[1:] - 1], hi[-1]).tolist(), strict=True))
 
 
+def _covering(part: np.ndarray, own: np.ndarray, index: Index, item: tuple, m: int, start: np.ndarray) -> np.ndarray:
+    """Which windows of m shingles may cover enough of an item's weight: by sums that count repeated shingles each time."""
+    counts, total = item
+    gain = np.zeros(len(part) + 1)
+    gain[own + 1] = [index.weight[x] if x in counts else 0.0 for x in part[own].tolist()]
+    gain = np.cumsum(gain)
+    return np.flatnonzero(gain[start + m] - gain[start] >= SIMILAR * total - 1e-6 * total)
+
+
 def _search(s: np.ndarray, hits: np.ndarray, index: Index) -> dict[int, tuple]:
     """For one text's shingles: item id -> (similarity, differing bits, first word, words) of its best window."""
     best: dict[int, tuple] = {}
@@ -133,7 +168,12 @@ def _search(s: np.ndarray, hits: np.ndarray, index: Index) -> dict[int, tuple]:
         seen = np.zeros(len(part) + 1, np.int64)
         seen[own + 1] = 1
         seen = np.cumsum(seen)
-        for m, (ids, prints, near, exact) in index.by_size.items():
+        listed = defaultdict(set)  # uneven items by size
+        for x in set(part[own].tolist()) & index.lists.keys():
+            for m, j in index.lists[x]:
+                listed[m].add(j)
+        for size, (ids, prints, near, exact) in index.by_size.items():
+            m = size
             if len(part) < m:
                 continue
             start = np.flatnonzero(seen[m:] - seen[:-m] > 0)  # windows with a shared shingle
@@ -144,12 +184,19 @@ def _search(s: np.ndarray, hits: np.ndarray, index: Index) -> dict[int, tuple]:
             w, i = np.nonzero(maybe)
             bits = _POP[f[w] ^ prints[i]].sum(1)
             w, i, bits = w[ok := bits <= RADIUS], i[ok], bits[ok]
+            if listed[size]:
+                alone = np.isin(i, list(listed[size]), invert=True)
+                more = [(w[alone], i[alone], bits[alone])]
+                for j in sorted(listed[size]):
+                    at = _covering(part, own, index, exact[j], m, start)
+                    more.append((at, np.full(len(at), j), _POP[f[at] ^ prints[j]].sum(1)))
+                w, i, bits = (np.concatenate(x) for x in zip(*more, strict=True))
             for p, j, d in zip(start[w].tolist(), i.tolist(), bits.tolist(), strict=True):
                 counts, total = exact[j]
                 got = Counter(part[p : p + m].tolist())
                 sim = sum(index.weight[x] * min(n, got[x]) for x, n in counts.items() if x in got) / total
                 if sim >= SIMILAR - 1e-9 and sim > best.get(ids[j], (0,))[0]:
-                    best[ids[j]] = (min(sim, 1.0), d, a + p, m + SHINGLE - 1)
+                    best[ids[j]] = (min(sim, 1.0), int(d), a + p, m + SHINGLE - 1)
     return best
 
 

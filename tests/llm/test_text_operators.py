@@ -137,6 +137,26 @@ def test_decontamination_by_brute_force():
     assert got == truth and sum(map(len, truth)) > 30
 
 
+def test_decontamination_shared_boilerplate():
+    """Items that share boilerplate, in documents with an item's own text and other text after it."""
+    template = words(40, 1)
+    items = [(i, template + " " + words(20, 100 + i)) for i in range(200)]
+    index = decontaminate.build(items)
+    texts = [" ".join(x.split()[36:]) + " " + words(90, 8000 + i) for i, x in items]
+    assert all(0.8 <= _covered(x, t, index) < 0.9 for (_, x), t in zip(items, texts, strict=True))
+    assert [set(x) for x in decontaminate.leaks(texts, index)] == [{i} for i, _ in items]
+
+
+def _covered(item, text, index):
+    """The most of an item's weight that a window of its size covers, over all windows."""
+    s, t = (decontaminate.shingle_hashes(*decontaminate.words_of([x.encode()]))[0].tolist() for x in (item, text))
+    if not set(s) & set(t):
+        return 0
+    weight = {x: index.weight[x] for x in s}
+    best = max(sum(weight[x] for x in set(t[p : p + len(s)]) & set(s)) for p in range(max(len(t) - len(s), 0) + 1))
+    return best / sum(weight[x] for x in s)
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     items = [(i, words(30, i)) for i in range(40)]
