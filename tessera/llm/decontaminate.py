@@ -21,6 +21,8 @@ similar window has one. That loses nothing.
 The index of items goes to every task. Its size is bounded: benchmarks with more than SLICE items are
 searched in several passes, each with the items of one slice.
 
+A text of fewer shingles than an item is one window for it.
+
 Defined results: null and empty texts and items match nothing. Items of fewer than five words match
 where their words occur in a row. Repeated rows are reported each; repeated items too. Whole
 texts are read.
@@ -173,9 +175,7 @@ def _search(s: np.ndarray, hits: np.ndarray, index: Index) -> dict[int, tuple]:
             for m, j in index.lists[x]:
                 listed[m].add(j)
         for size, (ids, prints, near, exact) in index.by_size.items():
-            m = size
-            if len(part) < m:
-                continue
+            m = min(size, len(part))  # a text shorter than the item is one window
             start = np.flatnonzero(seen[m:] - seen[:-m] > 0)  # windows with a shared shingle
             f = _pack(sums[start + m] - sums[start])
             maybe = near[0][f[:, 0]].copy()

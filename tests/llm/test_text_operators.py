@@ -157,6 +157,12 @@ def _covered(item, text, index):
     return best / sum(weight[x] for x in s)
 
 
+def test_decontamination_of_texts_shorter_than_items():
+    items = [(1, words(60, 1)), (2, words(9, 2))]
+    cut = " ".join(words(60, 1).split()[:-5])
+    assert [set(x) for x in decontaminate.leaks([cut, words(40, 1), cut + " more"], decontaminate.build(items))] == [{1}, set(), {1}]
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     items = [(i, words(30, i)) for i in range(40)]
