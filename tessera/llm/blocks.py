@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words in a shingle, and the least similarity of near duplicates.
@@ -155,7 +156,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
     """Cuts Arrow batches so that each holds about most bytes of a column, or one row; null stays None."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        sizes = np.nan_to_num(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         first = 0
         ends = np.cumsum(sizes + 16)
         while first < batch.num_rows:
@@ -172,9 +173,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or on a single machine one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
