@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -316,34 +317,80 @@ def test_pieces(odd, none, clash):
     assert pieces.digests(odd, v).where("not decoded").count() == 0
 
 
-def test_pieces_distribution():
-    import math
+def _segmentations(v, units):
+    """The probability of each segmentation of some units."""
+    out = {(): 1.0}
+    for unit in units:
+        lat = pieces.Lattice([unit], v)
+        probs: dict = {}
 
+        def walk(n, ids, lp, lat=lat, probs=probs):
+            if lat.edge[n] < 0:
+                probs[tuple(ids)] = math.exp(lp)
+                return
+            for e in range(lat.edge[n], lat.edge[n] + lat.count[n]):
+                walk(lat.dst[e], [*ids, int(lat.piece[e])], lp + lat.logp[e])
+
+        walk(0, [], 0.0)
+        assert abs(sum(probs.values()) - 1) < 1e-9
+        out = {a + b: p * q for a, p in out.items() for b, q in probs.items()}
+    return out
+
+
+@pytest.mark.parametrize(("text", "units"), [("there", [" there"]), ("in a of", [" in", " a", " of"])])
+def test_pieces_distribution(text, units):
     v = pieces.Vocabulary.load(VOCABULARY)
-    lat = pieces.Lattice([" there"], v)
-    probs: dict = {}
-
-    def walk(n, ids, lp):
-        if lat.last[n]:
-            probs[tuple(ids)] = math.exp(lp)
-            return
-        for e in range(lat.edge[n], lat.edge[n] + lat.count[n]):
-            walk(lat.dst[e], [*ids, int(lat.piece[e])], lp + lat.logp[e])
-
-    walk(0, [], 0.0)
-    assert abs(sum(probs.values()) - 1) < 1e-9
+    probs = _segmentations(v, units)
     inc = {k: p + sum(q * p / (1 - q) for j, q in probs.items() if j != k) for k, p in probs.items()}
-    n, seen, weighted = 6000, dict.fromkeys(probs, 0), 0.0
-    for s in pieces.segment(["there"] * n, list(range(n)), v, 2):
-        assert s[0].value >= s[1].value
+    n, seen, first, weighted = 6000, dict.fromkeys(probs, 0), dict.fromkeys(probs, 0), 0.0
+    for s in pieces.segment([text] * n, list(range(n)), v, 2):
+        assert s[0].value >= s[1].value and abs(math.exp(s[0].logp) - probs[tuple(s[0].ids.tolist())]) < 1e-9
+        first[tuple(s[0].ids.tolist())] += 1
         for x in s:
             seen[tuple(x.ids.tolist())] += 1
             weighted += math.exp(x.logp - x.log_inclusion)
     for k, p in inc.items():
         assert abs(seen[k] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+        assert abs(first[k] / n - probs[k]) < 5 * math.sqrt(probs[k] * (1 - probs[k]) / n) + 1e-3
     assert abs(weighted / n - 1) < 0.05
 
 
+def test_pieces_finds_all_segmentations():
+    """With k beyond their number, all come, each once, in falling order, without a threshold."""
+    v = pieces.Vocabulary.load(VOCABULARY)
+    probs = _segmentations(v, [" in", " a"])
+    (got,) = pieces.segment(["in a"], [7], v, len(probs) + 3)
+    assert {tuple(x.ids.tolist()) for x in got} == set(probs) and len(got) == len(probs)
+    assert [x.value for x in got] == sorted((x.value for x in got), reverse=True) and all(x.log_inclusion == 0 for x in got)
+    assert np.isfinite([x.value for x in got]).all()
+
+
+def test_pieces_noise_is_finite():
+    ones = np.array([0, 1, 2**64 - 1, 2**63, 0xFFF], np.uint64)
+    assert np.isfinite(pieces._gumbel(ones)).all()
+    u = pieces._uniform(np.arange(10**6, dtype=np.uint64))
+    assert 0 < u.min() and u.max() < 1 and (np.float64(2**52 - 1) + 0.5) / 2**52 < 1
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    """A text that is sampled in parts gets the same segmentations, and its neighbours don't matter; runs without spaces are cut."""
+    v = pieces.Vocabulary.load(VOCABULARY)
+    texts = [words(3000, 4), "x" * 3000, "", None, "é漢" * 700, "\n" * 500 + "a", "to " * 900, "\udc80".encode("utf-8", "surrogatepass").decode("utf-8", "ignore") + "end"]
+    whole = list(pieces.segment(texts, range(len(texts)), v, 3))
+    alone = [next(pieces.segment([t], [i], v, 3)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(pieces, "_AT_ONCE", 400)
+    parts = [next(pieces.segment([t], [i], v, 3)) for i, t in enumerate(texts)]
+    for a, b, c, t in zip(whole, alone, parts, texts, strict=True):
+        for x, y, z in zip(a, b, c, strict=True):
+            assert v.decode(x.ids.tolist()) == (t or "")
+            assert (x.ids == y.ids).all() and (x.ids == z.ids).all()
+            assert abs(x.value - z.value) < 1e-6 and abs(x.logp - z.logp) < 1e-6
+    invalid = b"ab\xff\xfe cd"
+    data, ends = pieces._joined([invalid])
+    got = pieces.sample(data, ends, np.array([5], np.uint64), v, 1)
+    assert b"".join(v.raw[i] for i in got.ids[0])[1:] == invalid
+
+
 def test_tiff_formats():
     rng = np.random.default_rng(0)
     for dtype in (np.uint8, np.uint16):
