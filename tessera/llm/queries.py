@@ -71,7 +71,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import resampling
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resampling.resample(docs, _table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "sample_key", "kept")
+    return resampling.resample(docs, _table(spark, sf_dir, "labels"), columns=[])
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,14 @@ separates the labelled sample, so a corpus without junk keeps its documents.
 
 Features: tokens (runs of word bytes or of punctuation, case kept) hashed alone and in pairs, and
 the shapes of tokens (case, digits, kind, length class, whether a token repeats the one before it)
-alone, in pairs and in threes. Whole texts are read.
+alone, in pairs and in threes, all within one text. Whole texts are read, long ones in blocks that are cut between tokens and overlap by
+two (only a token of over half a BLOCK may be cut). A text's weight depends on the text and the models alone. Texts are read twice, for the counts and for the weights, which
+are stored with the rows.
 
 Defined results: null, empty and blank texts have weight -inf and are rejected. Copies of a row are
-kept or rejected together, as their id seeds their noise; rows that tie with the k-th sum are kept
-too. Without any labelled target nothing is rejected. Other columns pass through; the operator's
+kept or rejected together, as their id seeds their noise (rows without id have one noise); rows that tie with the k-th sum are kept
+too. Where an id is labelled twice, its least quality counts; where it has several texts, all count for the target and the least weight for the cut. Without any labelled target, and in an empty table,
+nothing is rejected. Other columns pass through; the operator's
 own are named log_weight, sample_key and kept, and replace those of the same name.
 """
 
@@ -23,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, CLASS, grouped, hash_runs, mix, prepare, stored
+from .blocks import BLOCK, CLASS, grouped, hash_runs, mix, prepare, slices, stored
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 15
@@ -39,58 +43,74 @@ _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 4 digit, 8 beyond ASCII
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 4, 8
 
 
-def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of the token that each feature begins at, and the feature's bucket."""
+def _tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each token starts, its hash, and its shape's bits."""
     kind = CLASS[data]
     edge = np.flatnonzero(np.diff(kind, prepend=np.uint8(0)) != 0)
     starts = edge[kind[edge] != 0]
     ends = np.append(edge[1:], len(data))[kind[edge] != 0]
     if not len(starts):
-        return starts, starts
+        return starts, starts.astype(np.uint64), starts.astype(np.uint64)
     token = hash_runs(data, starts, ends)
-    ored = np.bitwise_or.reduceat(_KIND[data], np.minimum(starts, len(data) - 1)) if len(starts) else starts
     # reduceat runs to the next start, over white space, which adds no bits
-    shape = ored.astype(np.uint64) | (np.uint64(16) * (kind[starts] == 2)) | (np.uint64(32) * np.minimum(np.log2(ends - starts + 1), 7).astype(np.uint64))
-    first_upper = (_KIND[data[starts]] & 2) > 0
-    shape |= np.uint64(256) * first_upper
+    shape = np.bitwise_or.reduceat(_KIND[data], starts).astype(np.uint64)
+    punctuation = kind[starts] == 2
+    shape |= (np.uint64(16) * punctuation) | (np.uint64(32) * np.minimum(np.log2(ends - starts + 1), 7).astype(np.uint64))
+    shape |= np.uint64(256) * ((_KIND[data[starts]] & 2) > 0)
+    shape[punctuation] += np.uint64(1024) * data[starts][punctuation].astype(np.uint64)
+    return starts, token, shape
+
+
+_M = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _grams(token: np.ndarray, bits: np.ndarray, of: np.ndarray, carried: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Text and bucket of each feature that ends after the first `carried` tokens; of: each token's text."""
+    two = np.flatnonzero(of[1:] == of[:-1]) + 1  # tokens with one before them in their text
+    three = np.flatnonzero(of[2:] == of[:-2]) + 2
     same = np.zeros(len(token), np.uint64)
-    same[1:] = token[1:] == token[:-1]
-    shape |= np.uint64(512) * same
-    shape[kind[starts] == 2] += np.uint64(1024) * (data[starts][kind[starts] == 2].astype(np.uint64))
-    shape = mix(shape + np.uint64(1))
-    m = np.uint64(0x9E3779B97F4A7C15)
-    feats = [(starts, token), (starts, shape + np.uint64(1))]
-    feats.append((starts[:-1], token[:-1] * m + token[1:]))
-    feats.append((starts[:-1], shape[:-1] * m + shape[1:]))
-    feats.append((starts[:-2], (shape[:-2] * m + shape[1:-1]) * m + shape[2:]))
-    at = np.concatenate([a for a, _ in feats])
-    return at, (mix(np.concatenate([mix(h + np.uint64(i)) for i, (_, h) in enumerate(feats)])) % np.uint64(BUCKETS)).astype(np.int64)
+    same[two] = token[two] == token[two - 1]
+    shape = mix((bits | np.uint64(512) * same) + np.uint64(1))
+    one = np.arange(carried, len(token))
+    two, three = two[two >= carried], three[three >= carried]
+    feats = [token[one], shape[one] + np.uint64(1), token[two - 1] * _M + token[two], shape[two - 1] * _M + shape[two], (shape[three - 2] * _M + shape[three - 1]) * _M + shape[three]]
+    bucket = mix(np.concatenate([mix(h + np.uint64(i)) for i, h in enumerate(feats)])) % np.uint64(BUCKETS)
+    return np.concatenate([of[one], of[one], of[two], of[two], of[three]]), bucket.astype(np.int64)
+
+
+def _blocks(x: np.ndarray):
+    """Blocks of a long text, cut between tokens where a token allows it."""
+    at = 0
+    while len(x) - at > BLOCK:
+        edges = np.flatnonzero(np.diff(CLASS[x[at + BLOCK // 2 : at + BLOCK]]))
+        cut = at + BLOCK // 2 + int(edges[-1]) + 1 if len(edges) else at + BLOCK
+        yield x[at:cut]
+        at = cut
+    yield x[at:]
 
 
 def _features(texts: list[bytes]):
     """(index of the first text, index after the last, text of each feature, bucket of each feature); a long text comes in pieces."""
     for a, b in grouped(texts):
-        if b == a + 1:
-            x = np.frombuffer(texts[a], np.uint8)
-            for i in range(0, max(len(x), 1), BLOCK):
-                at, f = _piece(x[i : i + BLOCK])
-                yield a, b, np.zeros(len(f), np.int64), f
+        if b > a + 1:
+            starts, token, bits = _tokens(np.frombuffer(b" ".join(texts[a:b]), np.uint8))
+            yield a, b, *_grams(token, bits, np.searchsorted(np.cumsum([len(x) + 1 for x in texts[a:b]]), starts, "right"))
             continue
-        data = np.frombuffer(b" ".join(texts[a:b]), np.uint8)
-        at, f = _piece(data)
-        yield a, b, np.searchsorted(np.cumsum([len(x) + 1 for x in texts[a:b]]), at, "right"), f
-
-
-def _bytes(texts) -> list[bytes]:
-    return [x.encode(errors="replace") if isinstance(x, str) else b"" for x in texts]
+        token = bits = np.empty(0, np.uint64)
+        for piece in _blocks(np.frombuffer(texts[a], np.uint8)):
+            # three tokens are carried: whether the first of the last two repeats the one before it counts in features to come
+            carried, (_, t, k) = len(token), _tokens(piece)
+            token, bits = np.concatenate([token, t]), np.concatenate([bits, k])
+            yield a, b, *_grams(token, bits, np.zeros(len(token), np.int64), carried)
+            token, bits = token[-3:], bits[-3:]
 
 
 @dataclass
 class Model:
-    """ratio: log(target / raw) by bucket; cut: the log weight that separates the labelled sample best."""
+    """ratio: log(target / raw) by bucket; known: the labelled rows of the sample (doc_id, quality)."""
 
     ratio: np.ndarray | None
-    cut: float = 0.0
+    known: pd.DataFrame
 
 
 def _counts(docs: DataFrame, good: frozenset) -> tuple[np.ndarray, np.ndarray]:
@@ -98,49 +118,56 @@ def _counts(docs: DataFrame, good: frozenset) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            ids, texts = batch["doc_id"].tolist(), _bytes(batch["text"])
-            is_good = np.array([i in good for i in ids])
-            for a, b, of, f in _features(texts):
+        for part, texts in slices(batches, "text"):
+            is_good = np.array([i in good for i in part.column(part.schema.get_field_index("doc_id")).to_pylist()], bool)
+            for a, b, of, f in _features([x or b"" for x in texts]):
                 raw += np.bincount(f, minlength=BUCKETS)
                 target += np.bincount(f[is_good[a:b][of]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": at, "raw": raw[at], "target": target[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
-    sums = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInPandas(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toPandas().to_numpy()  # BUCKETS rows at most
+    sums = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toPandas().to_numpy()  # BUCKETS rows at most
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[sums[:, 0].astype(int)], target[sums[:, 0].astype(int)] = sums[:, 1], sums[:, 2]
     return raw, target
 
 
+def log_weights(texts: list[bytes], ratio: np.ndarray) -> np.ndarray:
+    """The log weight of each text."""
+    out, some = np.zeros(len(texts)), np.zeros(len(texts), bool)
+    for a, b, of, f in _features(texts):
+        out[a:b] += np.bincount(of, ratio[f], minlength=b - a)
+        some[a:b] |= np.bincount(of, minlength=b - a) > 0
+    return np.where(some, out, -np.inf)
+
+
 def _weight(ratio: np.ndarray):
     @F.pandas_udf("double")
     def weight(text: pd.Series) -> pd.Series:
-        texts = _bytes(text)
-        out, some = np.zeros(len(texts)), np.zeros(len(texts), bool)
-        for a, b, of, f in _features(texts):
-            out[a:b] += np.bincount(of, ratio[f], minlength=b - a)
-            some[a:b] |= np.bincount(of, minlength=b - a) > 0
-        return pd.Series(np.where(some, out, -np.inf))
+        return pd.Series(log_weights([x if isinstance(x, bytes) else b"" for x in text], ratio))
 
-    return weight
+    return weight(F.col("text").cast("binary"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Both n-gram models over all rows, and the cut from a bounded sample of labelled rows."""
+    """Both n-gram models: the raw one over all rows, the target's from a bounded sample of labelled rows."""
     prepare(docs.sparkSession)
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).toPandas()
     good = frozenset(sample.doc_id[sample.quality > 0].tolist())
     if not good:
-        return Model(None)
+        return Model(None, sample)
     raw, target = _counts(docs, good)
     if not target.sum():
-        return Model(None)
+        return Model(None, sample)
     p, q = (target + PRIOR) / (target.sum() + PRIOR * BUCKETS), (raw + PRIOR) / (raw.sum() + PRIOR * BUCKETS)
-    ratio = np.log(p / q)
-    known = docs.sparkSession.createDataFrame(sample.astype({"doc_id": "int64", "quality": "int32"}))
-    scored = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"), F.first("quality").alias("quality")).select("quality", _weight(ratio)("text").alias("w")).toPandas()
-    return Model(ratio, best_cut(scored.w.to_numpy(), scored.quality.to_numpy() > 0))
+    return Model(np.log(p / q), sample)
+
+
+def cut_of(weights: DataFrame, model: Model) -> float:
+    """The log weight that separates the labelled sample best; weights: (doc_id, log_weight) of all rows."""
+    known = weights.sparkSession.createDataFrame(model.known.astype({"doc_id": "int64", "quality": "int32"}))  # MOST_LABELLED rows at most
+    got = weights.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.first("quality").alias("quality")).toPandas()
+    return best_cut(got.w.to_numpy(), got.quality.to_numpy() > 0)
 
 
 def best_cut(w: np.ndarray, good: np.ndarray, slack: float = 0.01) -> float:
@@ -183,16 +210,19 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float
 def weighed(docs: DataFrame, model: Model, seed: int = 0) -> DataFrame:
     """Adds log_weight, and sample_key: that and Gumbel noise from the row's id."""
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
-    w = F.lit(0.0) if model.ratio is None else _weight(model.ratio)("text")
+    w = F.lit(0.0) if model.ratio is None else _weight(model.ratio)
     return docs.withColumn("log_weight", w).withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
-    """Every row with log_weight, sample_key and kept."""
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, columns: list[str] | None = None) -> DataFrame:
+    """Every row with its columns (or doc_id and those given), log_weight, sample_key and kept. Rows with their weights are written to the shared folder once."""
+    own = ["log_weight", "sample_key"]
+    columns = [c for c in (docs.columns if columns is None else ["doc_id", *columns]) if c not in (*own, "kept")]
     model = fit(docs, labels)
-    out = weighed(docs, model, seed)
+    rows = weighed(docs, model, seed).select(*columns, *own)
     if model.ratio is None:
-        return out.withColumn("kept", F.lit(True))
-    keys = stored(weighed(docs.select("doc_id", "text"), model, seed).select("log_weight", "sample_key"), "weights")
-    k = keys.where(F.col("log_weight") > model.cut).count()
-    return out.withColumn("kept", F.col("sample_key") >= kth_largest(keys, "sample_key", k))
+        return rows.withColumn("kept", F.lit(True))
+    rows = stored(rows, "weights")
+    cut = cut_of(rows.select("doc_id", "log_weight"), model)
+    k = rows.where(F.col("log_weight") > cut).count()
+    return rows.select(*columns, *own).withColumn("kept", F.col("sample_key") >= kth_largest(rows, "sample_key", k))
