@@ -4,17 +4,18 @@ A page is cut into blocks of text (a block ends where a block-level tag begins o
 has a tag path from the root. For each path, text length and punctuation are added up over its blocks,
 links discounted, and divided by the number of blocks: content paths hold long, punctuated blocks, menus
 short ones. The two ratios are smoothed over the blocks in page order, fused into one score of a
-path, and paths over a threshold mark content. The main text is every block below the smallest element
-that holds nearly all marked text, so that short paragraphs of an article stay.
+path, and paths over a threshold mark content. The region of the main text is the smallest element
+that holds nearly all marked text. In it, blocks on marked paths are the main text, with what marked paths can't show: titles,
+list items, cells and quotes, which are short by nature, stay unless most of their path's text is links. Text that
+stands in other elements of unmarked paths (say, a box between the paragraphs) is left out.
 
 Elements that never hold main text (menus, page headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) are known by tag, role or class and left out with all they contain;
-where there are article elements, their blocks are the candidates, and the scores select the article and drop
-its paths of links. Short unlinked paths of the selected article stay, whatever their score: a low score doesn't tell titles and
-lists from boilerplate.
+scripts, styles, reader comments) are known by tag, role or class and left out with all they contain, as their text can be as long as an article's;
+where there are article elements, their blocks are the candidates.
 
 Defined results: null or empty html gives an empty text. Text without any tag is one block. Character
-references are decoded once. White space inside a block becomes one space. Whole pages are read.
+references are decoded once. White space inside a block becomes one space. Whole pages are read; time grows with their length, however deeply elements nest.
+Rows, repeated ones too, are extracted one by one.
 """
 
 from __future__ import annotations
@@ -41,10 +42,14 @@ P_SCOPE = frozenset("article aside body button caption div footer header li main
 #: Elements and words in class, id or role that never hold main text.
 NEVER = frozenset("aside applet audio button canvas datalist dialog footer form frame frameset head iframe input menu nav noembed noframes noscript object script search select style svg template textarea title video".split())
 NEVER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense alert alertdialog banner breadcrumb breadcrumbs byline comment comments complementary contentinfo consent cookie cookies dialog discussion disqus disclaimer feedback footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommend recommendations recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toc toolbar tooltip widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary contentinfo consent cookie cookies dialog disclaimer disqus footer hidden masthead menu modal nav navbar navigation newsletter notice notices notification overlay popup promo promoted promotion recommended related replies reply search sidebar sponsor sponsored subscribe teaser toolbar widget".split()
 )
-#: Gaussian weights of a block's neighbours, and the share of the best path's score that marks a path as content.
+#: Elements whose text is short by nature.
+SHORT = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
+#: Gaussian weights of a block's neighbours, the share of the best path's score that marks a path as content, and the share of marked text in the region.
 SMOOTH, MARK, HELD = [exp(-(d * d) / 2) for d in range(3)], 0.35, 0.9
+#: The share of links in a path's text beyond which its short elements are a list of links.
+LINKS = 0.6
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>|</?[a-zA-Z][^<>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -73,22 +78,28 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class _Page:
-    """Blocks of a page: (path of element numbers, labels of the path, text, characters within links)."""
+    """Blocks of a page: (element, path, text, characters within links). Elements are numbered as they begin, so a parent comes before its children; equal paths of tags have one number."""
 
     def __init__(self, html: str) -> None:
         self.stack: list[tuple[str, int, bool]] = []  # tag, element, left out
-        self.blocks: list[tuple[tuple[int, ...], tuple[str, ...], str, int]] = []
+        self.open: dict[str, int] = defaultdict(int)  # open elements by tag
+        self.blocks: list[tuple[int, int, str, int]] = []
         self.text: list[str] = []
-        self.linked = self.links = self.count = 0
-        self.articles: dict[int, str] = {}
+        self.linked = self.links = 0
+        self.parent, self.path, self.tag, self.within, self.articles = [-1], [0], [""], [False], set()
+        self.paths: dict[tuple[int, str], int] = {}
         self._read(html)
 
+    def _element(self) -> int:
+        """The innermost open element."""
+        return next((x[1] for x in reversed(self.stack) if x[1] >= 0), 0)
+
     def _flush(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                shown = [x for x in self.stack if x[0] not in INLINE]
-                self.blocks.append((tuple(x[1] for x in shown), tuple(x[0] for x in shown), text, min(self.linked, len(text))))
+                e = self._element()
+                self.blocks.append((e, self.path[e], text, min(self.linked, len(text))))
             self.text = []
         self.linked = 0
 
@@ -97,10 +108,18 @@ class _Page:
 
     def _pop_to(self, index: int) -> None:
         self._flush()
+        for tag, _, _ in self.stack[index:]:
+            self.open[tag] -= 1
         del self.stack[index:]
 
+    def _push(self, tag: str, element: int, out: bool) -> None:
+        self.open[tag] += 1
+        self.stack.append((tag, element, out))
+
     def _close(self, tags: set[str] | frozenset, scope: set[str] | frozenset) -> None:
         """Ends the innermost open element of some tags, but not beyond one of scope."""
+        if not any(self.open[t] for t in tags):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in tags:
                 self._pop_to(i)
@@ -147,14 +166,11 @@ class _Page:
         self._flush()
 
     def _start(self, tag: str, attrs: str) -> None:
-        inline = tag in INLINE
-        inside = any(x[0] in ("article", "main") for x in self.stack)
-        out = self._out() or _unwanted(tag, attrs, inside)
-        if inline:
+        if tag in INLINE:
             if tag == "a":
                 self.links = 1
-            if out and not self._out():
-                self.stack.append((tag, -1, True))
+            if not self._out() and _unwanted(tag, attrs, False):
+                self._push(tag, -1, True)
             return
         self._flush()
         self.links = 0
@@ -164,30 +180,36 @@ class _Page:
             self._close(*LIST_ENDS[tag])
         if attrs.rstrip().endswith("/") and tag not in ("p", "div"):
             return
-        out = self._out() or _unwanted(tag, attrs, inside)
-        self.count += 1
-        self.stack.append((tag, self.count, out))
-        if not out and (tag in ("article", "main") or 'role="main"' in attrs or "articleBody" in attrs):
-            self.articles[self.count] = tag
+        out = self._out() or _unwanted(tag, attrs, self.open["article"] + self.open["main"] > 0)
+        up, e = self._element(), len(self.parent)
+        self.parent.append(up)
+        self.tag.append(tag)
+        self.path.append(self.paths.setdefault((self.path[up], tag), len(self.paths) + 1))
+        article = not out and (tag in ("article", "main") or 'role="main"' in attrs or "articleBody" in attrs)
+        self.within.append(self.within[up] or article)
+        if article:
+            self.articles.add(e)
+        self._push(tag, e, out)
 
     def _end(self, tag: str) -> None:
         if tag == "a":
             self.links = 0
         inline = tag in INLINE
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if inline:
-                    del self.stack[i:]
-                else:
-                    self._pop_to(i)
-                return
-            if inline and self.stack[i][0] not in INLINE:
-                return
-            if tag == "p" and self.stack[i][0] in P_SCOPE:
-                return
-        if tag == "p" and not inline:
+        if self.open[tag]:
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] == tag:
+                    self._pop_to(i) if not inline else self._pop_inline(i)
+                    return
+                if inline and self.stack[i][0] not in INLINE or tag == "p" and self.stack[i][0] in P_SCOPE:
+                    return
+        elif tag == "p":
             self._flush()
 
+    def _pop_inline(self, index: int) -> None:
+        for tag, _, _ in self.stack[index:]:
+            self.open[tag] -= 1
+        del self.stack[index:]
+
 
 def scores(blocks) -> list[float]:
     """The fused score of each block's path: text and punctuation for each block of the path, smoothed over page order."""
@@ -208,40 +230,49 @@ def scores(blocks) -> list[float]:
     return [sum(fused[p]) / len(fused[p]) for _, p, _, _ in blocks]
 
 
+def _region(page: _Page, blocks: list, got: list[float], top: float) -> int:
+    """The smallest element that holds nearly all marked text; where it lies in an article, that article, as titles and short parts may stand beside it."""
+    held = [0] * len(page.parent)
+    for (e, _, text, _), s in zip(blocks, got, strict=True):
+        if s >= MARK * top:
+            held[e] += len(text)
+    total = sum(held)
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+    at = max(e for e, n in enumerate(held) if n >= HELD * total)  # they are nested, so the last one is the smallest
+    up = at
+    while up and up not in page.articles:
+        up = page.parent[up]
+    if up:
+        return up
+    return page.parent[at] if at and page.tag[at] in SHORT else at  # beside a single paragraph
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page, one line per block."""
     if not html:
         return ""
     page = _Page(html)
-    blocks = page.blocks
-    if page.articles:
-        inner = [b for b in blocks if any(e in page.articles for e in b[0])]
-        blocks = inner or blocks
+    blocks = [b for b in page.blocks if page.within[b[0]]] or page.blocks
     if not blocks:
         return ""
     got = scores(blocks)
     top = max(got)
-    marked = [b for b, s in zip(blocks, got, strict=True) if s >= MARK * top]
-    total = sum(len(b[2]) for b in marked)
-    held: dict[int, int] = defaultdict(int)
-    for b in marked:
-        for e in b[0]:
-            held[e] += len(b[2])
-    # elements that hold nearly all marked text are nested, so the longest chain has them all
-    root = max(([e for e in b[0] if held[e] >= HELD * total] for b in marked), key=len, default=[])
-    deepest = root[-1] if root else None
-    within = [e for e in root if e in page.articles]
-    if within:
-        deepest = within[-1]  # the title and short parts of an article may stand beside the element of its longest part
-    elif deepest is not None and not any(b[0] and b[0][-1] != deepest and deepest in b[0] for b in blocks) and len(root) > 1 and len(marked) < len(blocks):
-        deepest = root[-2]
-    kept = [b for b, s in zip(blocks, got, strict=True) if deepest is None or deepest in b[0]]
-    # within it, only paths of links are left out, a linked title not
-    linky: dict = defaultdict(lambda: [0, 0])
-    for b in kept:
-        linky[b[1]][0] += b[3]
-        linky[b[1]][1] += len(b[2])
-    return "\n".join(b[2] for b in kept if linky[b[1]][0] <= 0.6 * linky[b[1]][1] or len(linky) == 1 or b[1][-1:] == ("h1",))
+    region = _region(page, blocks, got, top)
+    inside = [e == region for e in range(len(page.parent))]
+    for e in range(1, len(inside)):
+        inside[e] = inside[e] or inside[page.parent[e]]
+    here = [(b, s) for b, s in zip(blocks, got, strict=True) if inside[b[0]]]
+    links: dict = defaultdict(lambda: [0, 0])
+    for (_, path, text, linked), _ in here:
+        links[path][0] += linked
+        links[path][1] += len(text)
+    kept = []
+    for (e, path, text, _), s in here:
+        linked, length = links[path]
+        if page.tag[e] == "h1" or s >= MARK * top or page.tag[e] in SHORT and linked <= LINKS * length:
+            kept.append(text)
+    return "\n".join(kept)
 
 
 @F.pandas_udf(StringType())

@@ -490,3 +490,48 @@ def test_html_scores_select_within_articles():
     assert html_main.main_text(f"<body>{story}{others}</body>") == html_main.main_text(f"<body>{others}{story}</body>") == want
     assert html_main.main_text(f"<main>{story}{others}</main>") == want
     assert html_main.main_text(f"<article><p>{long}</p><p>Ok.</p></article>") == f"{long.strip()}\nOk."
+
+
+def test_html_paths_over_the_threshold():
+    """Boxes and lists of links within the main text are left out, with and without an article element; titles, items and quotes stay."""
+    long = "A long paragraph, with commas, and more; it ends here. " * 6
+    inner = f"<h2>Title</h2><p>{long}</p><div class=box><a href=x>Buy cheap cars</a></div><p>Short.</p><div>See also ten best cars</div><ul><li>First item</li><li>Second item</li></ul><ul class=more><li><a href=x>One</a><li><a href=x>Two</a></ul><blockquote>A quote</blockquote><p>{long}</p>"
+    links = "<div><ul><li><a href=x>One</a></li><li><a href=x>Two</a></li></ul></div>"
+    want = f"Title\n{long.strip()}\nShort.\nFirst item\nSecond item\nA quote\n{long.strip()}"
+    plain = inner.replace("<ul class=more><li><a href=x>One</a><li><a href=x>Two</a></ul>", "")
+    for html in (f"<article>{plain}</article>", f"<body>{links}<div>{plain}</div><div>Some words on the site</div>{links}</body>", f"<body><main>{plain}</main>{links}</body>"):
+        assert html_main.main_text(html) == want
+    story = f"<section><div>{long}</div><div>{long}</div><span>Ad: buy now</span></section><section>About us</section>"
+    assert html_main.main_text(story) == f"{long.strip()}\n{long.strip()}\nAd: buy now".replace("\nAd: buy now", "")
+
+
+def test_html_scores_by_a_plain_version():
+    r = random.Random(4)
+    for _ in range(30):
+        blocks = [(0, r.randrange(4), words(r.randint(1, 30), r.randrange(10**6)) + "." * r.randint(0, 3), r.randint(0, 5)) for _ in range(r.randint(1, 25))]
+        ratio = {}
+        for p in {b[1] for b in blocks}:
+            own = [b for b in blocks if b[1] == p]
+            length = sum(len(t) - n for _, _, t, n in own) / len(own)
+            marks = sum(t.count(".") * (1 - n / len(t)) for _, _, t, n in own) / len(own)
+            ratio[p] = math.log(1 + length) * math.log(1 + marks)
+        got = html_main.scores(blocks)
+        for p in ratio:
+            fused = []
+            for i, b in enumerate(blocks):
+                if b[1] == p:
+                    near = [(math.exp(-((i - j) ** 2) / 2), ratio[blocks[j][1]]) for j in range(len(blocks)) if abs(i - j) <= 2]
+                    fused.append(math.sqrt(ratio[p] * sum(w * x for w, x in near) / sum(w for w, _ in near)))
+            assert all(abs(got[i] - sum(fused) / len(fused)) < 1e-9 for i, b in enumerate(blocks) if b[1] == p)
+
+
+def test_html_odd_pages(spark):
+    import time
+
+    began = time.time()
+    deep = [html_main.main_text(h) for h in ("<div>" * 30000 + "x", "<blockquote><p>a" * 10000, "<ul><li>b" * 10000, "</p></a></div>" * 10000, "<b><i>" * 10000 + "y")]
+    assert deep[0] == "x" and deep[1].count("a") > 9000 and deep[2].count("b") > 9000 and deep[3:] == ["", "y"] and time.time() - began < 30
+    page = "<article><p>One, two.</p></article>"
+    rows = spark.createDataFrame([(1, "u", page, 5), (1, "u", page, 5), (None, None, page, None)], "page_id long, url string, html string, n_chars long")
+    got = html_main.extract(rows).collect()
+    assert [(r.text, r.n_chars) for r in got] == [("One, two.", 9)] * 3
