@@ -47,7 +47,7 @@ NEVER_WORDS = frozenset(
 #: Elements whose text is short by nature.
 SHORT = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 #: Gaussian weights of a block's neighbours, the share of the best path's score that marks a path as content, and the share of marked text in the region.
-SMOOTH, MARK, HELD = [exp(-(d * d) / 2) for d in range(3)], 0.35, 0.9
+SMOOTH, MARK, HELD = [exp(-(d * d) / 2) for d in range(3)], 0.35, 0.95
 #: The share of links in a path's text beyond which its short elements are a list of links.
 LINKS = 0.6
 

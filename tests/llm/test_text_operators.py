@@ -530,7 +530,7 @@ def test_html_odd_pages(spark):
 
     began = time.time()
     deep = [html_main.main_text(h) for h in ("<div>" * 30000 + "x", "<blockquote><p>a" * 10000, "<ul><li>b" * 10000, "</p></a></div>" * 10000, "<b><i>" * 10000 + "y")]
-    assert deep[0] == "x" and deep[1].count("a") > 9000 and deep[2].count("b") > 9000 and deep[3:] == ["", "y"] and time.time() - began < 30
+    assert deep[0] == "x" and deep[1].count("a") >= 9000 and deep[2].count("b") >= 9000 and deep[3:] == ["", "y"] and time.time() - began < 30
     page = "<article><p>One, two.</p></article>"
     rows = spark.createDataFrame([(1, "u", page, 5), (1, "u", page, 5), (None, None, page, None)], "page_id long, url string, html string, n_chars long")
     got = html_main.extract(rows).collect()
