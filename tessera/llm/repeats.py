@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import bwt
-from .blocks import BLOCK, _tables, mix, prepare, slices, stored
+from .blocks import BLOCK, _tables, in_filter, join_crowded, mix, prepare, slices, stored
 
 #: Bytes of a repeated string, of an anchor, and how many windows one anchor can serve.
 LENGTH, K = 400, 32
@@ -47,8 +47,6 @@ COARSE, FINE = 64, 16
 HOT = 50_000
 #: Strings in a shard, and cells that are merged at once.
 SHARD, MERGED = 4096, 1 << 15
-#: Bits of the filter of rows that have open cells; its size doesn't grow.
-FILTER_BITS = 22
 _POSITION = 20
 
 
@@ -166,9 +164,10 @@ def decide(cells: DataFrame) -> DataFrame:
     cells = stored(cells, "cells")  # read three times
     where = F.struct(*[c for c in ("key", "at", "q", "i") if c in cells.columns])
     spans = cells.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(where).alias("first"))
-    cores = spans.groupBy("core").agg(F.sum("n").alias("cores"), F.sum((F.col("n") == 1).cast("long")).alias("alone")).where("cores > 1")
-    got = cells.join(spans.join(cores, "core"), ["core", "span"])
-    return got.withColumn("open", (F.col("n") == 1) | (F.col("alone") > 0) & (where == F.col("first"))).drop("first", "alone")
+    cores = spans.groupBy("core").agg(F.sum("n").alias("cores"), F.sum((F.col("n") == 1).cast("long")).alias("alone"), F.count("*").alias("spans")).where("cores > 1")
+    cores = stored(cores, "cores")  # read three times
+    got = cells.join(join_crowded(spans, cores, "core", "spans", "span"), ["core", "span"])
+    return got.withColumn("open", (F.col("n") == 1) | (F.col("alone") > 0) & (where == F.col("first"))).drop("first", "alone", "spans")
 
 
 #: Bytes of the neighbourhood that an open anchor's cells are made of.
@@ -192,12 +191,8 @@ def _open_text(rows: DataFrame, open_: DataFrame) -> DataFrame:
 
 
 def _maybe(rows: DataFrame, keys: DataFrame, others: bool = False) -> DataFrame:
-    """The rows whose key may be among keys (or surely isn't): a filter of 2^FILTER_BITS bits, sent to all tasks, spares their join."""
-    bit = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS)
-    words = keys.select(bit("key").alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
-    held = rows.withColumn("b", bit("key")).withColumn("w", F.shiftright("b", 6)).join(F.broadcast(words), "w", "left")
-    hit = F.coalesce(F.expr("(shiftrightunsigned(bits, cast(b % 64 as int)) & 1L) = 1L"), F.lit(False))
-    return held.where(~hit if others else hit).drop("b", "w", "bits")
+    """The rows whose key may be among keys (or surely isn't): a filter of fixed size, sent to all tasks, spares their join."""
+    return in_filter(rows, "key", keys).where(~F.col("hit") if others else F.col("hit")).drop("hit")
 
 
 def _cell_rows(near: DataFrame, size: int, cells: DataFrame | None) -> DataFrame:
