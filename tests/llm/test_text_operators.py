@@ -134,7 +134,7 @@ def test_decontamination_by_brute_force():
             if best >= 0.8:
                 found.add(i)
         truth.append(found)
-    got = [set(x) for x in decontaminate.leaks(texts, index)]
+    got = [{y[0] for y in x} for x in decontaminate.leaks(texts, index)]
     assert got == truth and sum(map(len, truth)) > 30
 
 
@@ -145,7 +145,7 @@ def test_decontamination_shared_boilerplate():
     index = decontaminate.build(items)
     texts = [" ".join(x.split()[36:]) + " " + words(90, 8000 + i) for i, x in items]
     assert all(0.8 <= _covered(x, t, index) < 0.9 for (_, x), t in zip(items, texts, strict=True))
-    assert [set(x) for x in decontaminate.leaks(texts, index)] == [{i} for i, _ in items]
+    assert [[y[0] for y in x] for x in decontaminate.leaks(texts, index)] == [[i] for i, _ in items]
 
 
 def _covered(item, text, index):
@@ -161,7 +161,25 @@ def _covered(item, text, index):
 def test_decontamination_of_texts_shorter_than_items():
     items = [(1, words(60, 1)), (2, words(9, 2))]
     cut = " ".join(words(60, 1).split()[:-5])
-    assert [set(x) for x in decontaminate.leaks([cut, words(40, 1), cut + " more"], decontaminate.build(items))] == [{1}, set(), {1}]
+    assert [[y[0] for y in x] for x in decontaminate.leaks([cut, words(40, 1), cut + " more"], decontaminate.build(items))] == [[1], [], [1]]
+
+
+def test_decontamination_in_slices(spark, monkeypatch):
+    """Weights are those of all items, so slices, stretches and tables of any size give the same rows; repeated items are reported each."""
+    template = words(30, 1)
+    rows = [(i, template + " " + words(20 + i % 7, 100 + i)) for i in range(40)] + [(None, words(30, 7)), (None, words(30, 8)), (3, words(30, 7)), (4, "two words")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    texts = [" ".join(t.split()[8 + i % 12 :]) + " " + words(40, 900 + i) for i, (_, t) in enumerate(rows)] + [" ".join(t for _, t in rows), None, words(30, 7), words(30, 7)]
+    docs = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("text_key", F.lit("clash"))
+    of = lambda: sorted(map(tuple, decontaminate.contaminated(docs, items).drop("bits").collect()), key=repr)
+    want, clean = of(), sorted(map(str, decontaminate.decontaminate(docs, items).collect()))
+    assert len(want) > 30 and {r[:2] for r in want} >= {(None, 9), (len(texts) - 1, None), (len(texts) - 1, 3)}
+    monkeypatch.setattr(decontaminate, "SLICE", 3000)
+    assert sum(1 for _ in decontaminate.indexes(items)) > 2
+    monkeypatch.setattr(decontaminate, "STRETCH", 50)
+    monkeypatch.setattr(decontaminate, "CELLS", 64)
+    assert of() == want
+    assert sorted(map(str, decontaminate.decontaminate(docs, items).collect())) == clean
 
 
 def test_multi_index_finds_all_within_radius():
