@@ -7,7 +7,8 @@ language of the centroid with the largest cosine; texts that are farther from ev
 nearly all of the sample are marked as rejected.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or where nothing was
-learned. Whole texts are read. Copies get equal results. Other columns pass through; lang_pred,
+learned. Whole texts are read; long ones in blocks that overlap, so no n-gram is lost. Copies get equal results, and count once in the sample. Rows without id are
+rows like others. A text that is labelled with several languages counts for each. An empty table gives no rows, and nothing is learned from it. Other columns pass through; lang_pred,
 score and rejected replace columns of the same name.
 """
 
@@ -18,12 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, grouped, prepare
+from .blocks import BLOCK, grouped, prepare, stored
 
-#: Dimensions of a vector, centroids of a language, and how many texts of a language (about) k-means gets.
+#: Dimensions of a vector, centroids of a language, and how many different texts of a language k-means gets at most.
 DIMS, CENTROIDS, SAMPLE = 1 << 13, 4, 300
 #: This share of the sample lies farther away than what is not rejected.
 REJECT = 0.002
@@ -58,12 +59,14 @@ def counted(texts: list[bytes]):
             if n == 1:
                 x = np.frombuffer(texts[first], np.uint8)
                 sums = np.zeros((1, DIMS), np.float32)
-                for i in range(0, len(x), BLOCK):
-                    sums[0] += np.bincount(_grams(x[i : i + BLOCK]).ravel(), minlength=DIMS)
+                for i in range(0, len(x), BLOCK):  # two bytes more, for the n-grams that reach beyond
+                    sums[0] += np.bincount(_grams(x[i : i + BLOCK + 2])[:, :BLOCK].ravel(), minlength=DIMS)
             else:
                 data = np.frombuffer(b"\0\0\0".join(texts[first:last]), np.uint8)
                 of = np.repeat(np.arange(n, dtype=np.int32), [len(x) + 3 for x in texts[first : last - 1]] + [len(texts[last - 1])])
                 g = _grams(data)
+                ends = np.flatnonzero(np.diff(of))
+                g[:, np.concatenate([ends, ends - 1, ends - 2])] = 0  # what begins between texts belongs to none
                 sums = np.zeros(n * DIMS, np.float32)
                 for row in g:
                     sums += np.bincount(of * DIMS + row, minlength=n * DIMS)
@@ -101,14 +104,18 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
 
 
+def _sample(docs: DataFrame) -> DataFrame:
+    """(lang, text) of the SAMPLE different texts of each language whose hashes are the least. Copies are added up before anything is ranked, and each partition ranks its own first."""
+    hashes = docs.select("lang", F.xxhash64("text").alias("h")).distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = hashes.withColumn("nth", nth).where(F.col("nth") <= SAMPLE).select("lang", "h")  # SAMPLE rows a language
+    return docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame) -> Centroids | None:
-    """Document frequencies over all rows of docs(text, lang); centroids from about SAMPLE texts of each language, chosen by a hash of the text."""
-    spark = docs.sparkSession
-    prepare(spark)
+    """Document frequencies over all rows of docs(text, lang); centroids from at most SAMPLE different texts of each language."""
+    prepare(docs.sparkSession)
     docs = docs.where("lang is not null and text is not null").select("text", "lang")
-    sizes = {r.lang: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
 
     def frequencies(batches):
         df, n = np.zeros(DIMS, np.int64), 0
@@ -119,29 +126,28 @@ def fit(docs: DataFrame) -> Centroids | None:
         yield pd.DataFrame({"dim": np.arange(-1, DIMS), "n": np.concatenate([[n], df])})
 
     got = dict(docs.select("text").mapInPandas(frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n")).collect())
+    if not got.get(-1):
+        return None
     idf = np.log((1 + got[-1]) / (1 + np.array([got[i] for i in range(DIMS)]))).astype(np.float32)
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SAMPLE / n))])
-    chosen = docs.where((F.shiftrightunsigned(F.xxhash64("text"), 12) / F.lit(float(1 << 52))) < rate[F.col("lang")])
+    model = Centroids(idf, np.empty((0, DIMS), np.float32), [], -1.0)
+    sample = stored(_sample(docs), "sample")
 
-    def vectors(batches):
+    def centers(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("h")
+        v = model.vectors(np.concatenate([sums for *_, sums in counted(folded(rows["text"]))]))
+        c = _kmeans(v, CENTROIDS).astype("<f4")
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "i": np.arange(len(c)), "center": [x.tobytes() for x in c]})
+
+    found = sample.groupBy("lang").applyInPandas(centers, "lang string, i int, center binary").orderBy("lang", "i").collect()  # CENTROIDS rows a language
+    model.langs = [r.lang for r in found]
+    model.centers = np.array([np.frombuffer(r.center, "<f4") for r in found])
+
+    def nearest(batches):
         for batch in batches:
-            langs = batch["lang"].to_numpy()
-            for a, b, sums in counted(folded(batch["text"])):
-                yield pd.DataFrame({"lang": langs[a:b], "tf": [x.astype("<f4").tobytes() for x in sums]})
+            for *_, sums in counted(folded(batch["text"])):
+                yield pd.DataFrame({"cos": (model.vectors(sums) @ model.centers.T).max(1).astype(float)})
 
-    sample = chosen.dropDuplicates().mapInPandas(vectors, "lang string, tf binary").limit(4 * SAMPLE * len(sizes)).toPandas()
-    model = Centroids(idf, np.empty((0, DIMS), np.float32), [], -1.0)
-    if not len(sample):
-        return None
-    v = model.vectors(np.array([np.frombuffer(x, "<f4") for x in sample.tf]))
-    centers = []
-    for lang in sorted(sizes):
-        own = v[sample.lang.to_numpy() == lang]
-        if len(own):
-            centers.append(c := _kmeans(own, CENTROIDS))
-            model.langs += [lang] * len(c)
-    model.centers = np.concatenate(centers).astype(np.float32)
-    model.floor = float(np.quantile((v @ model.centers.T).max(1), REJECT))
+    model.floor = float(np.quantile([r.cos for r in sample.select("text").mapInPandas(nearest, "cos double").collect()], REJECT))
     return model
 
 
@@ -159,7 +165,7 @@ def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
             for a, b, sums in counted(texts):
                 cos = model.vectors(sums) @ model.centers.T
                 best = cos.argmax(1)
-                lang[a:b], score[a:b] = names[best], np.clip(cos[np.arange(b - a), best], 0, 1)
+                lang[a:b], score[a:b] = names[best], np.round(np.clip(cos[np.arange(b - a), best].astype(float), 0, 1), 6)
         lang[~has], score[~has] = "und", 0.0
         return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": ~has | (score < (model.floor if model else 1))})
 
