@@ -1,7 +1,7 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
 Candidates are runs of token characters that are long and mixed, runs that stand right after an
-assignment to a name such as `token` or `password`, and private-key blocks. Each gets features: its length, classes of
+assignment to a name such as `token` or `password`, and private-key blocks to their last line, headers included. Each gets features: its length, classes of
 characters and transitions between them, how well its letters follow each other as in words, how
 much of it the dictionary covers, whether it looks like a path, and words before and after it. A
 random forest trained from labelled findings gives the probability that it is a secret.
@@ -9,8 +9,9 @@ random forest trained from labelled findings gives the probability that it is a
 `fit` takes labelled findings (text, start, end, label); by default it trains from `labelled`,
 which makes findings of both kinds from templates with a fixed seed, as no labelled table exists.
 
-Defined results: null and empty texts have no findings. Whole texts are read; a candidate may be of
-any length. Repeated candidates in a text are repeated findings. Offsets count code points.
+Defined results: null and empty texts, and tables without rows, have no findings. Whole texts are read; a candidate may be of
+any length, and features are those of all of it. Repeated candidates in a text, and repeated rows, are repeated findings. Null ids stay null. Offsets count code points.
+findings() takes doc_id and text alone; with redact() other columns pass through.
 """
 
 from __future__ import annotations
@@ -51,13 +52,26 @@ _KIND[48:58], _KIND[65:91], _KIND[97:123] = 1, 2, 3
 _BEFORE, _AFTER = 64, 32
 _ASSIGNED = re.compile(rb"([\w.\-]{1,64})[\"']?\s{0,4}(?::=|=>|[:=])\s{0,4}[\"'`]?$")
 _NAMES = re.compile("|".join(SECRET_WORDS).encode(), re.I)
-_PEM = re.compile(rb"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY)-----[^-]*(?:-----END \1-----)?")
+_PEM = re.compile(rb"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----")
+#: What follows a block's first line where its last one is missing: headers, and lines of base64.
+_PEM_LINES = re.compile(rb"(?:(?:\s|\\[nr])*(?:[A-Za-z][\w-]{0,40}: [^\n]*|[A-Za-z0-9+/=]{16,}))*")
 _WORD = re.compile(r"[a-z]+")
 #: Forms of well-known issuers.
 KINDS = [("aws_key", r"(?:AKIA|ASIA)[0-9A-Z]{16}"), ("github_token", r"gh[pousr]_\w{36,}"), ("slack_token", r"xox[abprs]-[\w-]{10,}"), ("google_key", r"AIza[\w-]{35}"), ("stripe_key", r"[rs]k_(?:live|test)_\w{16,}"), ("jwt", r"eyJ[\w-]{10,}.*")]
 _KINDS = [(k, re.compile(p)) for k, p in KINDS]
 
 
+def private_keys(data: bytes) -> list[tuple[int, int]]:
+    """Byte ranges of private-key blocks: to the last line of the same name, if no other block begins before it."""
+    marks = list(_PEM.finditer(data))
+    out = []
+    for m, after in zip(marks, [*marks[1:], None], strict=True):
+        if m[1] == b"BEGIN":
+            whole = after is not None and after[1] == b"END" and after[2] == m[2]
+            out.append((m.start(), after.end() if whole else _PEM_LINES.match(data, m.end()).end()))
+    return out
+
+
 def candidates(data: bytes) -> list[tuple[int, int]]:
     """Byte ranges of candidates, in order. Blocks of bytes are searched; a run is never cut."""
     found, at, x = [], 0, np.frombuffer(data, np.uint8)
@@ -74,8 +88,7 @@ def candidates(data: bytes) -> list[tuple[int, int]]:
         cased = np.concatenate([[0], np.cumsum((kind[1:] == 2) & (kind[:-1] == 3))]) if len(kind) > 1 else np.zeros(2, int)
         has_digit, up = digits[e] - digits[s] > 0, cased[np.minimum(e - 1, len(cased) - 1)] - cased[s]
         letters = digits[e] - digits[s] < e - s
-        before = piece[np.maximum(s - 1, 0)]
-        assigned = (s > 0) & np.isin(before, np.frombuffer(b"\"'`=: ", np.uint8))
+        assigned = (s + at > 0) & np.isin(x[np.maximum(s + at - 1, 0)], np.frombuffer(b"\"'`=: ", np.uint8))
         for a, b, mixed, maybe in zip(s + at, e + at, ((has_digit & letters & (e - s >= 16)) | ((up >= 3) & (e - s >= 20))).tolist(), assigned.tolist(), strict=True):
             a, b = int(a), int(b)
             if not mixed:
@@ -89,9 +102,11 @@ def candidates(data: bytes) -> list[tuple[int, int]]:
                     b += 1
             found.append((a, b))
         at = end
-    if b"PRIVATE KEY-----" in data:
-        pem = [m.span() for m in _PEM.finditer(data)]
-        found = sorted([c for c in found if not any(a <= c[0] < b for a, b in pem)] + pem)
+    pem = private_keys(data) if b"PRIVATE KEY" in data else []
+    if pem:
+        first = np.array([a for a, _ in pem])
+        inside = lambda a: (k := int(np.searchsorted(first, a, "right")) - 1) >= 0 and a < pem[k][1]
+        found = sorted([c for c in found if not inside(c[0])] + pem)
     out, last = [], -1
     for a, b in found:
         if a >= last:
@@ -100,38 +115,46 @@ def candidates(data: bytes) -> list[tuple[int, int]]:
     return out
 
 
-#: How English-like a pair of letters is: from the dictionary's own pairs.
-_PAIRS = Counter(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
-_ALL = sum(_PAIRS.values())
+#: How English-like a pair of letters is: logarithms from the dictionary's own pairs.
+_COUNTS = Counter(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
+_PAIRS = np.log((np.array([[_COUNTS[chr(a) + chr(b)] for b in range(97, 123)] for a in range(97, 123)]) + 0.5) / sum(_COUNTS.values()))
+#: Classes of bytes: 1 digits, 2 capitals, 3 small letters, 0 all else; and letters by number, 26 for all else.
+_LETTER = np.full(256, 26, np.uint8)
+_LETTER[97:123] = _LETTER[65:91] = np.arange(26)
 
 
 def features(value: str, before: str, after: str) -> list[float]:
-    """A candidate's features; before and after are the text around it."""
-    n = len(value)
-    kinds = [1 if c.isdigit() else 2 if c.isupper() else 3 if c.islower() else 0 for c in value[:4096]]
-    counts = Counter(value)
+    """A candidate's features, over all of its UTF-8 bytes; before and after are the text around it."""
+    data = np.frombuffer(value.encode(errors="replace"), np.uint8)
+    n = len(data)
+    kinds = _KIND[data]
+    share = np.bincount(kinds, minlength=4) / n
+    counts = np.bincount(data)
+    counts = counts[counts > 0] / n
+    letter = _LETTER[data]
+    both = (letter[1:] < 26) & (letter[:-1] < 26)
+    pairs = _PAIRS[letter[:-1][both], letter[1:][both]]
     low = value.lower()
     words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
     covered = sum(len(w) for w in words if w in _DICTIONARY)
-    pairs = [_PAIRS.get(low[i : i + 2], 0) for i in range(min(n, 4096) - 1) if low[i : i + 2].isalpha()]
     near = before.lower()
     words_near, words_after = set(_WORD.findall(near)), set(_WORD.findall(after.lower()))
     assigned = _ASSIGNED.search(before.encode())
     name = assigned[1].decode(errors="replace").lower() if assigned else ""
-    gaps = [ord(b) - ord(a) for a, b in zip(value, value[1:1000], strict=False)]
+    steps = np.abs(np.diff(data.astype(np.int16))) <= 1
     return [
-        min(n, 512),
+        float(n),
         float(n in (32, 40, 64)),
-        sum(k == 1 for k in kinds) / len(kinds),
-        sum(k == 2 for k in kinds) / len(kinds),
-        sum(k == 3 for k in kinds) / len(kinds),
-        sum(k == 0 for k in kinds) / len(kinds),
-        sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / len(kinds),
-        -sum(c / n * math.log2(c / n) for c in counts.values()),
-        max(counts.values()) / n,
-        float(all(c in "0123456789abcdef-" for c in low)),
+        float(share[1]),
+        float(share[2]),
+        float(share[3]),
+        float(share[0]),
+        float((kinds[1:] != kinds[:-1]).sum() / n),
+        float(-(counts * np.log2(counts)).sum()),
+        float(counts.max()),
+        float(not low.strip("0123456789abcdef-")),
         float(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low) is not None),
-        sum(math.log((p + 0.5) / _ALL) for p in pairs) / len(pairs) if pairs else -9.0,
+        float(pairs.mean()) if len(pairs) else -9.0,
         covered / n,
         max(map(len, words), default=0) / n,
         value.count("/") / n,
@@ -144,7 +167,7 @@ def features(value: str, before: str, after: str) -> list[float]:
         float(any(w in words_near or w in words_after for w in DIGEST_WORDS)),
         float(any(w in low or w in words_near for w in PLACEHOLDERS)),
         float(any(p.match(value) is not None for _, p in _KINDS) or value.startswith("-----BEGIN")),
-        sum(abs(g) <= 1 for g in gaps) / max(len(gaps), 1),
+        float(steps.mean()) if n > 1 else 0.0,
         float(before[-1:] in "\"'`" and after[:1] in "\"'`" and bool(after)),
     ]
 
@@ -158,13 +181,18 @@ def labelled(n: int = 6000, seed: int = 7) -> list[tuple[str, int, int, int]]:
     prose = lambda k: " ".join(word() for _ in range(k))
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
 
+    def key_block(kind: str) -> str:
+        name = kind + "PRIVATE KEY" + (" BLOCK" if kind == "PGP " else "")
+        head = r.choice(["", "", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + some(hexa.upper(), 32) + "\n\n"])
+        return f"-----BEGIN {name}-----\n{head}" + "\n".join(some(alnum + "+/", 64) for _ in range(r.randint(0, 6))) + "\n" + some(alnum, r.randint(3, 40)) + f"=\n-----END {name}-----"
+
     def secret() -> str:
         return r.choice(
             [
                 lambda: some(hexa, r.choice([32, 40, 40, 48, 64])), lambda: some(alnum, r.randint(16, 64)), lambda: base64.b64encode(r.randbytes(r.randint(15, 48))).decode().rstrip("="),
                 lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + some(alnum, 36), lambda: "xoxb-" + some(string.digits, 12) + "-" + some(alnum, 24), lambda: "AIza" + some(alnum + "-_", 35), lambda: "sk_live_" + some(alnum, 24),
                 lambda: "eyJ" + some(alnum, 20) + "." + some(alnum, 40) + "." + some(alnum + "-_", 43), lambda: some(alnum, r.randint(8, 14)) + r.choice("0123456789"),
-                lambda: "-----BEGIN PRIVATE KEY-----\n" + "\n".join(some(alnum + "+/", 64) for _ in range(r.randint(0, 6))) + "\n" + some(alnum, r.randint(3, 40)) + "=\n-----END PRIVATE KEY-----",
+                lambda: key_block(r.choice(["", "RSA ", "EC ", "ENCRYPTED ", "PGP "])),
             ]
         )()
 
