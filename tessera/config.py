@@ -35,6 +35,8 @@ class Settings:
     stub_chars: int = 1500
     and_limit: int = 4
     digit_limit: int = 6
+    short_term: int = 6
+    short_terms: int = 4
     study_from: int = 700
     study_to: int = 1000
     # procedures and intents
@@ -77,10 +79,12 @@ DEFAULT = Settings()
 STOP_WORDS = tuple(
     "what how does when where which who why explain describe tell list find show give resolve can could should would do is are was were "
     "the and for but not with this that from they will have has had been may might into onto over upon after before during since until while also then to of in on at by an or "
-    "shall section clause table figure refer according following above below see per defined specified based used using given "
-    "causing caused causes leads leading triggers triggered results occurs happens makes gets becomes "
+    "3gpp shall section clause table figure refer according following above below see per defined specified based used using given "
+    "causing caused leads leading triggers triggered results occurs happens makes gets becomes "
     "nokia ericsson huawei samsung zte".split()
 )
+#: Fixed value: titles of study reports, as a pattern.
+STUDY_TITLE = r"(?i)\b(?:study\s+(?:on|of|into)|feasibility\s+study|technical\s+report\b)"
 #: Lead-ins of questions, as patterns.
 LEAD_INS = (r"how\s+(?:to|do|does|can|should|would)", r"what\s+(?:is|are|does)", r"why\s+(?:is|are)", r"explain\s+", r"describe\s+", r"tell\s+me\s+(?:about|how)", r"find\s+", r"show\s+me\s+", r"give\s+me\s+")
 #: Keys of request envelopes, and path elements that say nothing.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, ENVELOPE_KEYS, FILTER_FORMS, LEAD_INS, PATH_NOISE, STOP_WORDS, Settings
+from ..config import DEFAULT, ENVELOPE_KEYS, FILTER_FORMS, LEAD_INS, PATH_NOISE, STOP_WORDS, STUDY_TITLE, Settings
 
 #: A token of the text index: letters and digits of any alphabet.
 TOKEN = r"[\p{L}\p{N}]+"
@@ -19,32 +19,53 @@ def clean_token(t: Column) -> Column:
     return F.lower(F.regexp_replace(t, "[^A-Za-z0-9-]", ""))
 
 
-def search_terms(q: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+def cleaned_words(q: Column) -> Column:
+    return F.transform(F.split(F.coalesce(q, F.lit("")), r"\s+"), clean_token)
+
+
+def terms_of(words: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Cleaned words of at least two characters that aren't stop words, each once, in order."""
-    words = F.transform(F.split(F.coalesce(q, F.lit("")), r"\s+"), clean_token)
     return F.array_distinct(F.filter(words, lambda t: (F.length(t) >= 2) & ~t.isin(*stop)))
 
 
+def search_terms(q: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    return terms_of(cleaned_words(q), stop)
+
+
 def specificity(t: Column) -> Column:
     """0 for terms with a digit, 1 with a hyphen, then by length."""
     return F.when(t.rlike("[0-9]"), 0).when(t.contains("-"), 1).when(F.length(t) <= 6, 2).when(F.length(t) <= 9, 3).otherwise(4)
 
 
-def substituted(terms: Column, table: dict[str, str]) -> Column:
-    """Each term replaced by its canonical form, if it has one."""
+def substituted(words: Column, table: dict[str, str]) -> Column:
+    """Each word replaced by its canonical form, if it has one."""
     if not table:
-        return terms
+        return words
     m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.transform(terms, lambda t: F.coalesce(F.try_element_at(m, t), t))
+    return F.transform(words, lambda t: F.coalesce(F.try_element_at(m, t), t))
 
 
-def pinned(terms: Column, table: dict[str, str]) -> Column:
-    """Terms of the canonical forms that were put in."""
+def pinned(words: Column, table: dict[str, str]) -> Column:
+    """Terms of the canonical forms that are put in."""
     if not table:
         return F.array().cast("array<string>")
     m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    hits = F.filter(F.transform(terms, lambda t: F.try_element_at(m, t)), lambda t: t.isNotNull())
-    return F.array_distinct(F.flatten(F.transform(hits, lambda t: F.filter(F.transform(F.split(t, r"\s+"), clean_token), lambda x: F.length(x) >= 2))))
+    hits = F.filter(F.transform(words, lambda t: F.try_element_at(m, t)), lambda t: t.isNotNull())
+    return terms_of(F.flatten(F.transform(hits, cleaned_words)))
+
+
+def strict_terms(words: Column, every: Column, table: dict[str, str], s: Settings = DEFAULT) -> Column:
+    """The terms of a strict query. words: those of the original, cleaned; every: the terms of the expanded query.
+
+    The original's own terms, replaced; the expansion's with digits, unless the original has enough short plain ones; and its short hyphenated ones.
+    """
+    digit = lambda t: t.rlike("[0-9]")
+    own = terms_of(words)
+    short = F.size(F.filter(own, lambda t: ~digit(t) & ~t.contains("-") & (F.length(t) <= s.short_term)))
+    new = F.array_except(every, own)
+    digits = F.when(short < s.short_terms, F.filter(new, digit)).otherwise(F.slice(new, 1, 0))
+    forms = F.flatten(F.transform(substituted(words, table), cleaned_words))
+    return F.array_distinct(F.concat(terms_of(forms), digits, F.filter(new, lambda t: t.contains("-") & (F.length(t) <= s.short_term))))
 
 
 def and_terms(terms: Column, pins: Column, limit: int, s: Settings = DEFAULT) -> Column:
@@ -128,8 +149,8 @@ def is_binary(text: Column, share: int = 5) -> Column:
     return (F.coalesce(F.trim(text), F.lit("")) == "") | s.contains("EMF+") | s.contains("w:docVar") | s.contains("w:val=") | (odd * share > F.length(s))
 
 
-def is_study(doc_type: Column, spec_id: Column, title: Column, s: Settings = DEFAULT, title_pattern: str = r"(?i)\bstudy on\b") -> Column:
-    n = F.regexp_extract(spec_id, r"^[^.]*\.(\d+)", 1).try_cast("int")
+def is_study(doc_type: Column, spec_id: Column, title: Column, s: Settings = DEFAULT, title_pattern: str = STUDY_TITLE) -> Column:
+    n = F.regexp_extract(spec_id, r"^[^.]*\.([+-]?\d+)(?:-.*)?$", 1).try_cast("int")
     return F.coalesce((F.upper(doc_type) == "TR"), F.lit(False)) | F.coalesce((n >= s.study_from) & (n < s.study_to), F.lit(False)) | F.coalesce(title.rlike(title_pattern), F.lit(False))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import text as T
+from ..storage import stored
 from . import dense, lexical
 
 
@@ -20,27 +21,45 @@ def fuse(dense_leg: DataFrame, lexical_leg: DataFrame, s: Settings = DEFAULT) ->
     return out.withColumn("rrf", F.when(F.coalesce(both, F.lit(False)), F.col("rrf") * s.co_occurrence).otherwise(F.col("rrf")))
 
 
-def support(dense_leg: DataFrame, lexical_leg: DataFrame, chunks: DataFrame, depth: int) -> DataFrame:
-    """(query_id, spec_id, support): in how many legs a specification is among the first hits."""
-    legs = dense_leg.select("query_id", "chunk_key", "rank", F.lit("d").alias("leg")).unionByName(lexical_leg.select("query_id", "chunk_key", "rank", F.lit("l").alias("leg"))).where(F.col("rank") <= depth)
-    return legs.join(chunks.select("chunk_key", "spec_id"), "chunk_key").groupBy("query_id", "spec_id").agg(F.countDistinct("leg").cast("int").alias("support"))
+def facts(chunks: DataFrame) -> DataFrame:
+    """chunks with what ranking needs beside them: binary, chars, spec_chunks (the specification's chunks) and spec_type (its first doc type in load order). Nothing is added twice."""
+    if "spec_chunks" in chunks.columns:
+        return chunks
+    per = chunks.groupBy("spec_id").agg(F.count("*").alias("spec_chunks"), F.min_by("doc_type", F.when(F.col("doc_type").isNotNull(), F.col("load_ord"))).alias("spec_type"))
+    return chunks.withColumns({"binary": T.is_binary(F.col("text")), "chars": F.coalesce(F.length("text"), F.lit(0))}).join(per, "spec_id")
+
+
+def support(fused: DataFrame, depth: int) -> DataFrame:
+    """(query_id, spec_id, support): in how many legs a specification is among the first hits. fused: query_id, spec_id, d_rank, l_rank."""
+    best = fused.groupBy("query_id", "spec_id").agg(F.min("d_rank").alias("d"), F.min("l_rank").alias("l"))
+    legs = F.coalesce((F.col("d") <= depth).cast("int"), F.lit(0)) + F.coalesce((F.col("l") <= depth).cast("int"), F.lit(0))
+    return best.select("query_id", "spec_id", legs.alias("support")).where("support > 0")
+
+
+def discounted(fused: DataFrame, chunks: DataFrame, queries: DataFrame, s: Settings = DEFAULT, extras_terms: list[str] | None = None) -> DataFrame:
+    """fused with spec_id, rrf lowered for chunks of study reports and of the second source."""
+    asked = F.col("original") if "original" in queries.columns else F.col("q")
+    weight = T.extras_weight(F.col("series") if "series" in queries.columns else F.lit(None).cast("string"), asked, extras_terms or [], s)
+    x = fused.join(chunks.select("chunk_key", "spec_id", "db_idx", "doc_type", "title"), "chunk_key").join(F.broadcast(queries.select("query_id", weight.alias("w"))), "query_id")
+    study = F.when(T.is_study(F.col("doc_type"), F.col("spec_id"), F.col("title"), s), s.study_discount).otherwise(1.0)
+    return x.withColumn("rrf", F.col("rrf") * study * F.when(F.col("db_idx") == 1, F.col("w")).otherwise(1.0)).select("query_id", "chunk_key", "spec_id", "d_rank", "l_rank", "rrf")
 
 
 def pool(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, cap: int, s: Settings = DEFAULT, reject_binary: bool = True) -> DataFrame:
-    """The k best fused hits. A specification's quota counts chunks before binary and stub chunks are rejected, so these use it up."""
+    """The k best fused hits. A specification's quota counts chunks before binary and stub chunks are rejected, so these use it up. Texts are read for the k best only."""
     norm = 2.0 / (s.rrf_k + 1)
-    x = fused.withColumn("score", F.least(F.lit(1.0), F.col("rrf") / norm)).where(F.col("score") >= s.min_score)
-    x = x.join(chunks.select("chunk_key", "spec_id", "db_idx", "series", "release", "doc_type", "title", "chunk_index", "text"), "chunk_key")
+    chunks = facts(chunks)
+    x = fused.drop("spec_id").withColumn("score", F.least(F.lit(1.0), F.col("rrf") / norm)).where(F.col("score") >= s.min_score)
+    x = x.join(chunks.select("chunk_key", "spec_id", "binary", "chars", "spec_chunks"), "chunk_key")
     order = (F.desc("rrf"), F.asc_nulls_last("d_rank"), F.asc_nulls_last("l_rank"), F.col("chunk_key"))
     x = x.withColumn("in_spec", F.row_number().over(Window.partitionBy("query_id", "spec_id").orderBy(*order))).where(F.col("in_spec") <= cap)
-    sizes = chunks.groupBy("spec_id").agg(F.count("*").alias("spec_chunks"))
-    x = x.join(sizes, "spec_id").join(queries.select("query_id", "q"), "query_id")
-    stub = (F.col("spec_chunks") <= s.stub_chunks) & (F.length("text") < s.stub_chars) & ~T.names_spec(F.col("q"), F.col("spec_id"))
-    x = x.where(~stub)
+    x = x.join(F.broadcast(queries.select("query_id", (F.col("original") if "original" in queries.columns else F.col("q")).alias("q"))), "query_id")
+    x = x.where(~((F.col("spec_chunks") <= s.stub_chunks) & (F.col("chars") < s.stub_chars) & ~T.names_spec(F.col("q"), F.col("spec_id"))))
     if reject_binary:
-        x = x.where(~T.is_binary(F.col("text")))
+        x = x.where("not binary")
     x = x.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("pos") <= k)
-    return x.withColumn("score", T.round_to(F.col("score"))).drop("in_spec", "spec_chunks")
+    x = x.drop("in_spec", "spec_chunks", "binary", "chars", "spec_id").withColumn("score", T.round_to(F.col("score")))
+    return x.join(chunks.select("chunk_key", "spec_id", "spec_type", "db_idx", "series", "release", "doc_type", "title", "chunk_index", "text"), "chunk_key")
 
 
 def lexical_scorer(q, passage):
@@ -60,13 +79,13 @@ def adjust(hits: DataFrame, queries: DataFrame, s: Settings = DEFAULT, extras_te
     series = F.col("f_series") if "series" in queries.columns else F.lit(None).cast("string")
     cols = [F.col("series").alias("f_series")] if "series" in queries.columns else []
     cols += [F.col("release").alias("f_release")] if "release" in queries.columns else [F.lit(None).cast("string").alias("f_release")]
-    x = hits.join(queries.select("query_id", *cols), "query_id")
-    score = F.col("score") * F.when(T.is_study(F.col("doc_type"), F.col("spec_id"), F.col("title"), s), s.study_discount).otherwise(1.0)
-    score = score * F.when(T.is_numbered(F.col("spec_id")), 1.0).otherwise(T.extras_weight(series, F.col("q"), extras_terms or [], s))
-    named = T.release_of(F.col("q"))
+    x = hits.join(F.broadcast(queries.select("query_id", (F.col("original") if "original" in queries.columns else F.col("q")).alias("o"), *cols)), "query_id")
+    score = F.col("score") * F.when(T.is_study(F.col("spec_type"), F.col("spec_id"), F.col("title"), s), s.study_discount).otherwise(1.0)
+    score = score * F.when(T.is_numbered(F.col("spec_id")), 1.0).otherwise(T.extras_weight(series, F.col("o"), extras_terms or [], s))
+    named = T.release_of(F.col("o"))
     free = F.coalesce(F.trim("f_release"), F.lit("")) == ""
-    score = score * F.when(free & named.isNotNull(), F.when(F.col("release") == named, s.release_match).otherwise(s.release_mismatch)).otherwise(1.0)
-    x = x.withColumn("score", T.round_to(score)).drop("f_series", "f_release")
+    score = score * F.when(free & named.isNotNull(), F.when(F.lower("release") == F.lower(named), s.release_match).otherwise(s.release_mismatch)).otherwise(1.0)
+    x = x.withColumn("score", T.round_to(score)).drop("f_series", "f_release", "o")
     return x.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")))
 
 
@@ -80,24 +99,21 @@ def capped(hits: DataFrame, k, cap) -> tuple[DataFrame, DataFrame]:
     return final, drops
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 10, cap: int | None = None, s: Settings = DEFAULT, scorer=lexical_scorer, substitutions: dict[str, str] | None = None, extras_terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Hybrid search of a table of queries(query_id, q, vector[, series, release, doc_type]): final hits and what caps dropped.
+def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 10, cap: int | None = None, s: Settings = DEFAULT, scorer=lexical_scorer, substitutions: dict[str, str] | None = None, extras_terms: list[str] | None = None, index: lexical.Index | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hybrid search of a table of queries(query_id, q, vector[, original, series, release, doc_type]): final hits and what caps dropped.
 
-    Candidates of each leg don't depend on k, so the best k are the first of the best k + 1.
+    Candidates of each leg don't depend on k, so the best k are the first of the best k + 1. Both legs are ranked once, and their fusion is stored.
     """
+    chunks = facts(chunks)
     d = dense.ranked(queries, vectors, chunks, s.candidates, s.dense_cap)
-    l_ = lexical.cascade(queries, chunks, s.candidates, s, substitutions, extras_terms)
-    fused = fuse(d, l_, s).join(chunks.select("chunk_key", "db_idx", "doc_type"), "chunk_key")
-    fused = fused.join(queries.select("query_id", "q", *[c for c in ("series",) if c in queries.columns]), "query_id")
-    w = T.extras_weight(F.col("series") if "series" in queries.columns else F.lit(None).cast("string"), F.col("q"), extras_terms or [], s)
-    fused = fused.withColumn("rrf", F.col("rrf") * F.when(F.col("db_idx") == 0, 1.0).otherwise(w) * F.when(F.upper("doc_type") == "TR", s.study_discount).otherwise(1.0)).select("query_id", "chunk_key", "d_rank", "l_rank", "rrf")
+    l_ = lexical.cascade(queries, chunks, s.candidates, s, substitutions, extras_terms, index)
+    fused = stored(discounted(fuse(d, l_, s), chunks, queries, s, extras_terms), "fused")
     if scorer is None:
-        p = pool(fused, chunks, queries, k, max(cap or s.final_cap, 1), s)
-        final, drops = capped(p, k, max(cap or s.final_cap, 1))
+        final, drops = capped(pool(fused, chunks, queries, k, max(cap or s.final_cap, 1), s), k, max(cap or s.final_cap, 1))
     else:
         p = pool(fused, chunks, queries, max(s.rerank_pool, k), max(cap or 0, s.rerank_cap), s)
         final, drops = capped(adjust(rerank(p, scorer), queries, s, extras_terms), k, max(cap or s.final_cap, 1))
-    return final.join(support(d, l_, chunks, s.agreement_depth), ["query_id", "spec_id"], "left").fillna(0, ["support"]), drops
+    return final.join(support(fused, s.agreement_depth), ["query_id", "spec_id"], "left").fillna(0, ["support"]), drops
 
 
 def confidence(hits: DataFrame, queries: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -11,8 +11,8 @@ from ..config import DEFAULT, Settings
 from ..functions import text as T
 from . import lexical
 
-#: The form of a definition; %s is the quoted name. Suffixes of the name are allowed.
-DEFINITION = r"(?i)\b(%s(?:-[A-Za-z0-9]+)*)\s*(?:::=)?\s*(ENUMERATED\s*\{[^}]{0,300}\}|INTEGER\s*\([^)]{0,80}\)|BIT\s+STRING[^\n]{0,80})"
+#: Fixed value: the form of a definition; %s is the quoted name. Suffixes of the name are allowed.
+DEFINITION = r"(?i)\b(%s(?:-[A-Za-z0-9]+)*)\s*(?:::=)?\s*(ENUMERATED\s*\{[^}]{0,300}\}|INTEGER\s*\([^)]{0,80}\)|BIT\s+STRING[^,;}]{0,80})"
 _FOUND = ArrayType(StructType([StructField("name", StringType()), StructField("definition", StringType()), StructField("at", IntegerType()), StructField("end", IntegerType())]))
 
 
@@ -53,8 +53,9 @@ def spec_chunks(asked: DataFrame, chunks: DataFrame, n: int = 5, index: lexical.
     """(query_id, rank, chunk_key, by): chunks of asked(query_id, spec_id, q): by relevance if the query matches, else in document order."""
     terms = asked.select("query_id", F.explode(T.search_terms(F.col("q"))).alias("term")).withColumn("stage", F.lit(1))
     index = index or lexical.build(chunks)
-    scored = lexical.score(terms, lexical.weights(lexical.term_hits(index, terms, False), index), False)
     own = chunks.select("chunk_key", "spec_id", "chunk_index", "db_idx").join(F.broadcast(asked.select("query_id", "spec_id")), "spec_id")
+    weighted = lexical.weights(lexical.term_hits(index, terms, False), index).join(own.select("chunk_key").distinct(), "chunk_key", "left_semi")
+    scored = lexical.score(terms, weighted, False)
     x = own.join(scored.select("query_id", "chunk_key", "score"), ["query_id", "chunk_key"], "left")
     q = Window.partitionBy("query_id")
     x = x.withColumn("some", F.max("score").over(q)).where(F.col("score").isNotNull() | F.col("some").isNull())

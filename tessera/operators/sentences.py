@@ -18,7 +18,7 @@ def exploded(hits: DataFrame) -> DataFrame:
 def enumerations(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(keys..., is_list): texts in which enough sentences share their second word. df: key columns, i, sentence."""
     keys = [c for c in df.columns if c not in ("i", "sentence", "score", "q")]
-    word = F.lower(F.regexp_replace(F.try_element_at(F.split("sentence", r"\s+"), F.lit(s.enum_index + 1)), "[^A-Za-z0-9-]", ""))
+    word = F.lower(F.regexp_replace(F.try_element_at(F.split("sentence", r"\s+"), F.lit(s.enum_index + 1)), "[^A-Za-z0-9]", ""))
     per = df.withColumn("w", word).where(F.length("w") >= s.enum_token).groupBy(*keys, "w").agg(F.count("*").alias("n"))
     return per.groupBy(*keys).agg((F.max("n") >= s.enum_bucket).alias("is_list"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions import text as T
 from ..operators import dense, fusion, lexical, lookup, routing, sentences
+from ..storage import stored
 from . import render
 
 
@@ -24,26 +25,41 @@ class Lexicons:
 
 @dataclass
 class Engine:
-    """chunks and vectors as sources.corpus reads them. scorer: a function of columns (query, passage), or None."""
+    """chunks and vectors as sources.corpus reads them, or as opened() stores them. scorer: a function of columns (query, passage), or None. embedder: a function from a column of texts to
+    vectors, for requests that come without one; blank texts get none."""
 
     chunks: DataFrame
     vectors: DataFrame
     settings: Settings = DEFAULT
     lexicons: Lexicons = field(default_factory=Lexicons)
     scorer: object = staticmethod(fusion.lexical_scorer)
+    embedder: object = None
+    index: lexical.Index | None = None
+
+    @classmethod
+    def opened(cls, chunks: DataFrame, vectors: DataFrame, **settings) -> Engine:
+        """An engine that has stored its chunks with their facts, its text index and its vectors, so requests scan none of the sources."""
+        kept = stored(fusion.facts(chunks), "chunks")
+        return cls(kept, dense.build(vectors, kept), index=lexical.build(kept), **settings)
 
     def prepared(self, requests: DataFrame) -> DataFrame:
-        """Requests (query_id, q, vector, ...) that pass the guards and the scope, expanded and without question lead-ins."""
+        """Requests (query_id, q, vector, ...) that pass the guards and the scope: original, and q, its expansion. What is embedded has no lead-in of a question."""
         s = self.settings
         x = routing.guards(requests, self.chunks.select("series"), s).where("guard is null").drop("guard")
         if self.lexicons.ownership is not None:
             blocked = routing.scope(x, self.lexicons.ownership, self.chunks).where("blocks").select("query_id").distinct()
             x = x.join(blocked, "query_id", "left_anti")
-        return x.withColumn("q", T.strip_question(T.expand(T.unwrap(F.col("q")), self.lexicons.glossary)))
+        x = x.withColumn("original", T.unwrap(F.col("q")))
+        x = x.withColumn("q", T.expand(F.col("original"), self.lexicons.glossary))
+        if self.embedder is not None:
+            bare = T.strip_question(F.col("original"))
+            own = F.col("vector") if "vector" in x.columns else F.lit(None).cast("array<float>")
+            x = x.withColumn("vector", F.coalesce(own, F.when(bare != "", self.embedder(bare))))
+        return x
 
     def search(self, requests: DataFrame, k: int = 10, cap: int | None = None, cut: bool = True) -> tuple[DataFrame, DataFrame]:
         """Final hits and cap drops of all requests that are run."""
-        hits, drops = fusion.hybrid(self.prepared(requests), self.chunks, self.vectors, k, cap, self.settings, self.scorer, self.lexicons.substitutions, self.lexicons.extras_terms)
+        hits, drops = fusion.hybrid(self.prepared(requests), self.chunks, self.vectors, k, cap, self.settings, self.scorer, self.lexicons.substitutions, self.lexicons.extras_terms, self.index)
         return (fusion.score_cut(hits, self.settings) if cut else hits), drops
 
     def search_dense(self, requests: DataFrame, k: int = 10) -> DataFrame:
@@ -81,7 +97,7 @@ class Engine:
         pairs = requests.select("query_id", "vector").join(tech, "query_id").join(words, "query_id").join(F.broadcast(live), (F.col("canonical") == F.col("technology")) | (F.col("canonical") == "both"))
         pairs = pairs.withColumn("layer_id", F.concat_ws(":", "query_id", "ord", "series"))
         ask = pairs.select(F.col("layer_id").alias("query_id"), F.col("expanded").alias("q"), "vector", "series")
-        hits, _ = fusion.hybrid(ask, self.chunks, self.vectors, 8, None, s, self.scorer, self.lexicons.substitutions, self.lexicons.extras_terms)
+        hits, _ = fusion.hybrid(ask, self.chunks, self.vectors, 8, None, s, self.scorer, self.lexicons.substitutions, self.lexicons.extras_terms, self.index)
         x = hits.withColumnRenamed("query_id", "layer_id").drop("series").join(pairs.select("layer_id", "query_id", F.col("ord").alias("layer_ord"), "series", "label", "prefer", "per_layer"), "layer_id")
         if self.lexicons.test_specs:
             x = x.where(~F.substring_index(F.lower("spec_id"), "-", 1).isin(*self.lexicons.test_specs) & ~F.lower("spec_id").isin(*self.lexicons.test_specs))
@@ -108,7 +124,7 @@ class Engine:
         return lookup.citations(drafts.select("query_id", "draft"), hits), fusion.confidence(hits, drafts, self.settings)
 
     def spec_info(self, asked: DataFrame, n: int = 5) -> DataFrame:
-        return lookup.spec_chunks(asked, self.chunks, n, lexical.build(self.chunks))
+        return lookup.spec_chunks(asked, self.chunks, n, self.index)
 
     def list_specs(self) -> DataFrame:
         return lookup.list_specs(self.chunks)

@@ -32,8 +32,26 @@ def register(oracle: str | None):
     return add
 
 
+_OPENED: dict[tuple[str, str], Engine] = {}
+
+
+def opened(spark: SparkSession, sf: str) -> Engine:
+    """The engine over a folder's tables. Its chunks, text index and vectors are stored when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _OPENED:
+        _OPENED.clear()
+        _OPENED[key] = Engine.opened(C.chunks_from_tables(spark, sf), C.vectors_from_tables(spark, sf))
+    return _OPENED[key]
+
+
 def _data(spark, sf):
-    return C.chunks_from_tables(spark, sf), C.vectors_from_tables(spark, sf), C.queries_from_tables(spark, sf)
+    e = opened(spark, sf)
+    return e.chunks, e.vectors, C.queries_from_tables(spark, sf)
+
+
+def _hybrid(spark, sf, k=10, **options):
+    e = opened(spark, sf)
+    return fusion.hybrid(C.queries_from_tables(spark, sf), e.chunks, e.vectors, k, index=e.index, **options)
 
 
 def _wanted(q: DataFrame, stage: int) -> DataFrame:
@@ -47,8 +65,8 @@ def _wanted(q: DataFrame, stage: int) -> DataFrame:
 
 @register(query([CHUNKS, TERMS, INDEX], "SELECT db_idx, n_docs, avg_len, terms FROM st JOIN (SELECT db_idx, count(DISTINCT term) AS terms FROM (SELECT db_idx, unnest(list_concat(toks, rest)) AS term FROM tok) GROUP BY 1) USING (db_idx)"))
 def tokenize_stats(spark, sf):
-    i = lexical.build(C.chunks_from_tables(spark, sf))
-    terms = i.tokens.select("db_idx", F.explode(F.concat("strict", "rest")).alias("t")).groupBy("db_idx").agg(F.countDistinct("t").alias("terms"))
+    i = opened(spark, sf).index
+    terms = i.postings.groupBy("db_idx").agg(F.countDistinct("term").alias("terms"))
     return i.stats.join(terms, "db_idx").select("db_idx", "n_docs", "avg_len", "terms")
 
 
@@ -61,22 +79,20 @@ def search_terms(spark, sf):
 
 @register(query([CHUNKS, TERMS, INDEX], "SELECT query_id, chunk_key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_key) AS rank FROM loose) WHERE rank <= 10"))
 def bm25_or_topk(spark, sf):
-    c, _, q = _data(spark, sf)
-    i, w = lexical.build(c), _wanted(q, 4)
-    return lexical.top(lexical.score(w, lexical.weights(lexical.term_hits(i, w, False), i), False), 10, "query_id").select("query_id", "chunk_key", "score", "rank")
+    i, w = opened(spark, sf).index, _wanted(C.queries_from_tables(spark, sf), 4)
+    return lexical.top(lexical.best(w, lexical.weights(lexical.term_hits(i, w, False), i), False, 10), 10, "query_id").select("query_id", "chunk_key", "score", "rank")
 
 
 @register(query([CHUNKS, TERMS, INDEX], "SELECT query_id, chunk_key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_key) AS rank FROM strict WHERE stage = 1) WHERE rank <= 10"))
 def bm25_and_scoped(spark, sf):
-    c, _, q = _data(spark, sf)
-    i, w = lexical.build(c), _wanted(q, 1)
-    return lexical.top(lexical.score(w, lexical.weights(lexical.term_hits(i, w, True), i), True), 10, "query_id").select("query_id", "chunk_key", "score", "rank")
+    i, w = opened(spark, sf).index, _wanted(C.queries_from_tables(spark, sf), 1)
+    return lexical.top(lexical.best(w, lexical.weights(lexical.term_hits(i, w, True), i), True, 10), 10, "query_id").select("query_id", "chunk_key", "score", "rank")
 
 
 @register(query([CHUNKS, TERMS, INDEX, LEXICAL], "SELECT query_id, chunk_key, db_idx, stage, score, rank FROM lex"))
 def bm25_cascade(spark, sf):
     c, _, q = _data(spark, sf)
-    return lexical.cascade(q, c, S.candidates)
+    return lexical.cascade(q, c, S.candidates, index=opened(spark, sf).index)
 
 
 @register(
@@ -90,7 +106,7 @@ def phrase_match(spark, sf):
     c, _, q = _data(spark, sf)
     t = T.tokens(F.col("q"))
     terms = q.select("query_id", F.concat_ws("-", F.slice(t, 1, 2)).alias("term"))
-    return terms.join(lexical.term_hits(lexical.build(c), terms, True), "term").select("query_id", "chunk_key", "tf")
+    return terms.join(lexical.term_hits(opened(spark, sf).index, terms, True), "term").select("query_id", "chunk_key", "tf")
 
 
 # the dense leg
@@ -103,9 +119,9 @@ def dense_topk(spark, sf):
 
 
 @register(SQL["dense_topk"])
-def dense_topk_by_matrix(spark, sf):
+def dense_topk_by_pairs(spark, sf):
     c, v, q = _data(spark, sf)
-    return dense.ranked(q, v, c, 10, by_matrix=True).select("query_id", "chunk_key", "score", "rank")
+    return dense.ranked(q, v, c, 10, by_matrix=False).select("query_id", "chunk_key", "score", "rank")
 
 
 @register(query([CHUNKS, TERMS, DENSE], "SELECT query_id, chunk_key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, load_ord) AS rank FROM cosine WHERE series = 'de') WHERE rank <= 10"))
@@ -125,7 +141,7 @@ def dense_per_spec_cap(spark, sf):
 
 def _legs(spark, sf):
     c, v, q = _data(spark, sf)
-    return c, v, q, dense.ranked(q, v, c, S.candidates, S.dense_cap), lexical.cascade(q, c, S.candidates)
+    return c, v, q, dense.ranked(q, v, c, S.candidates, S.dense_cap), lexical.cascade(q, c, S.candidates, index=opened(spark, sf).index)
 
 
 @register(query([*LEGS, FUSED], f"SELECT query_id, chunk_key, {r6('rrf0')} AS rrf FROM fused0"))
@@ -143,7 +159,7 @@ def co_occurrence_boost(spark, sf):
 @register(query([*LEGS, SUPPORT], "SELECT query_id, spec_id, support FROM support"))
 def retriever_support(spark, sf):
     c, _, _, d, l_ = _legs(spark, sf)
-    return fusion.support(d, l_, c, S.agreement_depth)
+    return fusion.support(fusion.fuse(d, l_).join(c.select("chunk_key", "spec_id"), "chunk_key"), S.agreement_depth)
 
 
 _HITS = "SELECT query_id, rank, chunk_key, spec_id, score, coalesce(support, 0) AS support FROM hits LEFT JOIN support USING (query_id, spec_id)"
@@ -151,8 +167,7 @@ _HITS = "SELECT query_id, rank, chunk_key, spec_id, score, coalesce(support, 0)
 
 @register(query([*LEGS, FUSED, sql.pooled(1, 10), sql.final("pooled", 10, 1), SUPPORT], _HITS))
 def hybrid_search(spark, sf):
-    c, v, q = _data(spark, sf)
-    return fusion.hybrid(q, c, v, 10, scorer=None)[0].select("query_id", "rank", "chunk_key", "spec_id", "score", "support")
+    return _hybrid(spark, sf, scorer=None)[0].select("query_id", "rank", "chunk_key", "spec_id", "score", "support")
 
 
 _RERANK = [*LEGS, FUSED, sql.pooled(S.rerank_cap, S.rerank_pool), RERANKED, sql.final("adjusted", 10, S.final_cap)]
@@ -160,28 +175,23 @@ _RERANK = [*LEGS, FUSED, sql.pooled(S.rerank_cap, S.rerank_pool), RERANKED, sql.
 
 @register(query([*_RERANK, SUPPORT], _HITS))
 def hybrid_rerank(spark, sf):
-    c, v, q = _data(spark, sf)
-    return fusion.hybrid(q, c, v, 10)[0].select("query_id", "rank", "chunk_key", "spec_id", "score", "support")
+    return _hybrid(spark, sf)[0].select("query_id", "rank", "chunk_key", "spec_id", "score", "support")
 
 
 @register(query([*LEGS, FUSED, sql.pooled(S.rerank_cap, S.rerank_pool)], "SELECT query_id, pos, chunk_key, spec_id, score FROM pooled"))
 def per_spec_pool_cap(spark, sf):
     c, _, q, d, l_ = _legs(spark, sf)
-    x = fusion.fuse(d, l_).join(c.select("chunk_key", "db_idx", "doc_type"), "chunk_key")
-    x = x.withColumn("rrf", F.col("rrf") * F.when(F.col("db_idx") == 0, 1.0).otherwise(S.extras_discount) * F.when(F.upper("doc_type") == "TR", S.study_discount).otherwise(1.0)).drop("db_idx", "doc_type")
-    return fusion.pool(x, c, q, S.rerank_pool, S.rerank_cap).select("query_id", "pos", "chunk_key", "spec_id", "score")
+    return fusion.pool(fusion.discounted(fusion.fuse(d, l_), c, q), c, q, S.rerank_pool, S.rerank_cap).select("query_id", "pos", "chunk_key", "spec_id", "score")
 
 
 @register(query(_RERANK, "SELECT query_id, spec_id, count(*) AS dropped, max(score) AS best FROM counted WHERE NOT kept AND so_far < 10 GROUP BY 1, 2"))
 def cap_drop_report(spark, sf):
-    c, v, q = _data(spark, sf)
-    return fusion.hybrid(q, c, v, 10)[1]
+    return _hybrid(spark, sf)[1]
 
 
 @register(query(_RERANK, f"SELECT query_id, rank, chunk_key FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM hits) WHERE score >= greatest({S.score_floor}, m * {S.score_cut})"))
 def score_cut(spark, sf):
-    c, v, q = _data(spark, sf)
-    return fusion.score_cut(fusion.hybrid(q, c, v, 10)[0]).select("query_id", "rank", "chunk_key")
+    return fusion.score_cut(_hybrid(spark, sf)[0]).select("query_id", "rank", "chunk_key")
 
 
 @register(
@@ -193,8 +203,7 @@ def score_cut(spark, sf):
     )
 )
 def confidence_levels(spark, sf):
-    c, v, q = _data(spark, sf)
-    return fusion.confidence(fusion.hybrid(q, c, v, 10)[0], q)
+    return fusion.confidence(_hybrid(spark, sf)[0], C.queries_from_tables(spark, sf))
 
 
 @register(
@@ -207,7 +216,7 @@ def confidence_levels(spark, sf):
 def topk_eval(spark, sf):
     c, v, q = _data(spark, sf)
     truth = c.select("chunk_key", "text").join(F.broadcast(q.select("query_id", "q")), F.col("text").contains(F.col("q"))).select("query_id", "chunk_key")
-    first = truth.join(fusion.hybrid(q, c, v, 10)[0].select("query_id", "chunk_key", "rank"), ["query_id", "chunk_key"], "left").groupBy("query_id").agg(F.min("rank").alias("first"))
+    first = truth.join(_hybrid(spark, sf)[0].select("query_id", "chunk_key", "rank"), ["query_id", "chunk_key"], "left").groupBy("query_id").agg(F.min("rank").alias("first"))
     return first.agg(F.count("*").alias("queries"), F.sum((F.col("first") == 1).cast("int")).alias("top1"), F.sum((F.col("first") <= 5).cast("int")).alias("top5"), T.round_to(F.avg(1.0 / F.col("first"))).alias("mrr"))
 
 
@@ -215,14 +224,14 @@ def topk_eval(spark, sf):
     query(
         [CHUNKS],
         rf"""SELECT chunk_key, release, named, {r4(f"0.8 * CASE WHEN named = '' THEN 1.0 WHEN release = named THEN {S.release_match} ELSE {S.release_mismatch} END")} AS score
- FROM (SELECT chunk_key, release, CASE WHEN n = '' THEN '' ELSE 'Rel-' || n END AS named FROM (SELECT chunk_key, release, regexp_extract('the handover in release ' || CAST(15 + chunk_key % 5 AS VARCHAR), '\b(?:rel|release)[\s-]*(\d{{1,2}})\b', 1) AS n FROM ch WHERE series = 'en'))""",
+ FROM (SELECT chunk_key, release, CASE WHEN n = '' THEN '' ELSE 'Rel-' || n END AS named FROM (SELECT chunk_key, release, regexp_extract('the handover in release ' || CAST(15 + chunk_key % 5 AS VARCHAR), '\b(?:rel|release)[\s-]*(\d{{1,2}})\b', 1) AS n FROM ch))""",
     )
 )
 def release_boost(spark, sf):
-    c = C.chunks_from_tables(spark, sf).where("series = 'en'")
+    c = C.chunks_from_tables(spark, sf)
     q = c.select(F.col("chunk_key").alias("query_id"), F.concat(F.lit("the handover in release "), F.lit(15) + F.col("chunk_key") % 5).alias("q"))
-    hits = c.select("chunk_key", F.col("chunk_key").alias("query_id"), F.lit("38.331").alias("spec_id"), "release", F.lit("TS").alias("doc_type"), F.lit("t").alias("title"), F.lit(0.8).alias("score"), F.lit(1).alias("pos")).join(q, "query_id")
-    x = fusion.adjust(hits, q.drop("q"), S)
+    hits = c.select("chunk_key", F.col("chunk_key").alias("query_id"), F.lit("38.331").alias("spec_id"), "release", F.lit("TS").alias("spec_type"), F.lit("t").alias("title"), F.lit(0.8).alias("score"), F.lit(1).alias("pos")).join(q, "query_id")
+    x = fusion.adjust(hits, q, S)
     return x.select("chunk_key", "release", F.coalesce(T.release_of(F.col("q")), F.lit("")).alias("named"), "score")
 
 
@@ -268,7 +277,7 @@ def sentence_split(spark, sf):
 
 
 @register(
-    rf"""SELECT doc_id, max(n) >= {S.enum_bucket} AS is_list FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, lower(regexp_replace(regexp_split_to_array(x, '\s+')[{S.enum_index + 1}], '[^A-Za-z0-9-]', '', 'g')) AS w FROM (SELECT doc_id, unnest({_SENT}) AS x FROM documents)) WHERE length(w) >= {S.enum_token} GROUP BY 1, 2) GROUP BY 1"""
+    rf"""SELECT doc_id, max(n) >= {S.enum_bucket} AS is_list FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, lower(regexp_replace(regexp_split_to_array(x, '\s+')[{S.enum_index + 1}], '[^A-Za-z0-9]', '', 'g')) AS w FROM (SELECT doc_id, unnest({_SENT}) AS x FROM documents)) WHERE length(w) >= {S.enum_token} GROUP BY 1, 2) GROUP BY 1"""
 )
 def enumeration_detect(spark, sf):
     x = C.table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence"))
@@ -408,7 +417,7 @@ def glossary_expand(spark, sf):
 def spec_chunks_ordered(spark, sf):
     c = C.chunks_from_tables(spark, sf)
     asked = c.select("spec_id").distinct().select(F.col("spec_id").alias("query_id"), "spec_id", F.lit("").alias("q"))
-    return lookup.spec_chunks(asked, c).select(F.col("query_id").alias("spec_id"), "rank", "chunk_key")
+    return lookup.spec_chunks(asked, c, index=opened(spark, sf).index).select(F.col("query_id").alias("spec_id"), "rank", "chunk_key")
 
 
 @register(
@@ -419,7 +428,7 @@ def spec_chunks_ordered(spark, sf):
 )
 def spec_chunks_ranked(spark, sf):
     c, _, q = _data(spark, sf)
-    return lookup.spec_chunks(q.select("query_id", F.concat(F.lit("src"), F.col("query_id") % 20).alias("spec_id"), "q"), c)
+    return lookup.spec_chunks(q.select("query_id", F.concat(F.lit("src"), F.col("query_id") % 20).alias("spec_id"), "q"), c, index=opened(spark, sf).index)
 
 
 @register(
@@ -497,7 +506,7 @@ def clause_units(spark, sf):
 )
 def citation_check(spark, sf):
     c, v, q = _data(spark, sf)
-    hits = fusion.hybrid(q, c, v, 10)[0].where("rank <= 3").select("query_id", F.when(F.col("rank") == 1, "23.501").otherwise(F.concat(F.lit("38."), F.lpad((F.col("chunk_key") % 40).cast("string"), 3, "0"))).alias("spec_id"))
+    hits = _hybrid(spark, sf)[0].where("rank <= 3").select("query_id", F.when(F.col("rank") == 1, "23.501").otherwise(F.concat(F.lit("38."), F.lpad((F.col("chunk_key") % 40).cast("string"), 3, "0"))).alias("spec_id"))
     drafts = q.select("query_id", F.concat(F.lit("see TS 38."), F.lpad(F.col("query_id").cast("string"), 3, "0"), F.lit(" and TS 23.501, also 23.501")).alias("draft"))
     return lookup.citations(drafts, hits)
 
@@ -511,7 +520,7 @@ def procedure_layers(spark, sf):
     layers = spark.createDataFrame([("en", 1, "5g", 3, ["src1"], "English"), ("de", 2, "5g", 2, [], "German"), ("it", 3, "5g", 2, [], "Italian")], "series string, ord int, technology string, per_layer int, prefer array<string>, label string")
     aliases = spark.createDataFrame([(0, "nr", "5g"), (1, "lte", "lte")], "ord int, alias string, technology string")
     syn = spark.createDataFrame([(0, "that", "the")], "ord int, key string, value string")
-    return Engine(c, v).procedure(q.withColumn("technology", F.lit("NR")), layers, aliases, syn).drop("text")
+    return opened(spark, sf).procedure(q.withColumn("technology", F.lit("NR")), layers, aliases, syn).drop("text")
 
 
 @register(
@@ -523,7 +532,7 @@ def procedure_layers(spark, sf):
 )
 def batch_search(spark, sf):
     c, v, q = _data(spark, sf)
-    return Engine(c, v).batch(q)
+    return opened(spark, sf).batch(q)
 
 
 

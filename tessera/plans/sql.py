@@ -61,9 +61,12 @@ vv AS (SELECT vec_id AS chunk_key, {_unit("embedding")} AS v FROM embeddings),
 cosine AS (SELECT query_id, vv.chunk_key, spec_id, db_idx, load_ord, series, {r6("list_dot_product(qv.v, vv.v)")} AS score FROM vv CROSS JOIN qv JOIN ch ON ch.chunk_key = vv.chunk_key),
 dense AS (SELECT query_id, chunk_key, spec_id, db_idx, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, load_ord) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, spec_id ORDER BY score DESC, load_ord) AS n FROM cosine) WHERE n <= {S.dense_cap}) WHERE rank <= {S.candidates})"""
 
+#: Titles of study reports, and numbers after the first dot of an id.
+STUDY = f"(regexp_matches(title, '\\b(study\\s+(on|of|into)|feasibility\\s+study|technical\\s+report\\b)', 'i') OR coalesce(TRY_CAST(regexp_extract(spec_id, '^[^.]*\\.([+-]?[0-9]+)(-.*)?$', 1) AS INTEGER) BETWEEN {S.study_from} AND {S.study_to - 1}, false))"
+
 FUSED = f"""fused0 AS (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.chunk_key, l.chunk_key) AS chunk_key, d.rank AS d_rank, l.rank AS l_rank, coalesce(1.0 / ({S.rrf_k} + d.rank), 0.0) + coalesce(1.0 / ({S.rrf_k} + l.rank), 0.0) AS rrf0 FROM dense d FULL JOIN lex l ON d.query_id = l.query_id AND d.chunk_key = l.chunk_key),
 boosted AS (SELECT query_id, chunk_key, d_rank, l_rank, CASE WHEN d_rank <= 10 AND l_rank <= 10 THEN rrf0 * {S.co_occurrence} ELSE rrf0 END AS rrf FROM fused0),
-fused AS (SELECT b.query_id, b.chunk_key, d_rank, l_rank, rrf * (CASE WHEN db_idx = 0 THEN 1.0 ELSE {S.extras_discount} END) * (CASE WHEN upper(doc_type) = 'TR' THEN {S.study_discount} ELSE 1.0 END) AS rrf FROM boosted b JOIN ch USING (chunk_key))"""
+fused AS (SELECT b.query_id, b.chunk_key, d_rank, l_rank, rrf * (CASE WHEN db_idx = 1 THEN {S.extras_discount} ELSE 1.0 END) * (CASE WHEN coalesce(upper(doc_type) = 'TR', false) OR {STUDY} THEN {S.study_discount} ELSE 1.0 END) AS rrf FROM boosted b JOIN ch USING (chunk_key))"""
 
 
 def pooled(cap: int, k: int, name: str = "pooled") -> str:
@@ -79,7 +82,7 @@ def content(x: str) -> str:
 
 
 RERANKED = f"""scored AS (SELECT * REPLACE (1.0 / (1.0 + exp(-(6.0 * (CASE WHEN len({content("q")}) = 0 THEN 0.0 ELSE len(list_intersect({content("q")}, {content("title || ': ' || text")})) / CAST(len({content("q")}) AS DOUBLE) END - 0.5)))) AS score) FROM pooled),
-adjusted AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS pos) FROM (SELECT * REPLACE ({r4(f"score * (CASE WHEN coalesce(upper(doc_type) = 'TR', false) OR regexp_matches(title, '(?i)\\bstudy on\\b') THEN {S.study_discount} ELSE 1.0 END) * {S.extras_discount}")} AS score) FROM scored))"""
+adjusted AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS pos) FROM (SELECT * REPLACE ({r4(f"score * (CASE WHEN coalesce(upper(spec_type) = 'TR', false) OR {STUDY} THEN {S.study_discount} ELSE 1.0 END) * {S.extras_discount}")} AS score) FROM scored JOIN (SELECT spec_id, arg_min(doc_type, load_ord) FILTER (doc_type IS NOT NULL) AS spec_type FROM ch GROUP BY 1) USING (spec_id)))"""
 
 
 def final(source: str, k: int, cap: int) -> str:

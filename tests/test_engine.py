@@ -127,11 +127,15 @@ def test_dense_search(spark, corpus):
     c, v = corpus
     got = dense.search(ask(spark, ("", [1.0, 0.0, 0.0, 0.0])), v, c, 3, S).orderBy("rank").collect()
     assert [r.chunk_key for r in got] == ["a1", "a2", "a3"] and round(got[1].score, 4) == 0.9806
-    a = dense.similarities(ask(spark, ("", [0.3, 0.4, 0.0, 0.1]), ("", [0.0, 0.0, 0.0, 0.0]), ("", None)), v).collect()
-    b = dense.similarities_by_matrix(ask(spark, ("", [0.3, 0.4, 0.0, 0.1]), ("", [0.0, 0.0, 0.0, 0.0]), ("", None)), v).collect()
-    assert sorted((r.query_id, r.chunk_key, round(r.score, 5)) for r in a) == sorted((r.query_id, r.chunk_key, round(r.score, 5)) for r in b)
-    top = dense.similarities_by_matrix(ask(spark, ("", [1.0, 0.0, 0.0, 0.0])), v.coalesce(1), keep=2).collect()
-    assert {r.chunk_key for r in top} == {"a1", "z1"}
+    q = ask(spark, ("", [0.3, 0.4, 0.0, 0.1]), ("", [0.0, 0.0, 0.0, 0.0]), ("", None))
+    for cap in (None, 1):
+        a, b = (sorted(map(tuple, dense.ranked(q, x, c, 4, cap, by_matrix=m).collect())) for x, m in ((v, False), (dense.build(v, c), True)))
+        assert a == b and len(a) == 8
+    found = dense.candidates(ask(spark, ("", [1.0, 0.0, 0.0, 0.0])), dense.joined(v, c).coalesce(1), 2, 1).collect()
+    assert {r.chunk_key for r in found} == {"a1", "z1"}
+    q = q.withColumn("series", F.when(F.col("query_id") == 0, "38")).withColumn("release", F.lit(" "))
+    a, b = (sorted(map(tuple, dense.ranked(q, v, c, 4, None, by_matrix=m).collect())) for m in (False, True))
+    assert a == b and {r[2] for r in a if r[0] == 0} <= {"38.331", "38.901"}
 
 
 @pytest.mark.parametrize(("rows", "level"), [([(0.9, "a", 1), (0.7, "b", 1)], "high"), ([(0.9, "a", 2), (0.85, "b", 1)], "medium"), ([(0.9, "a", 1), (0.85, "b", 1)], "low"), ([(0.2, "a", 2), (0.19, "b", 1)], "none"), ([(0.9, "a", 0)], "high"), ([], "low")])
