@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SIMILAR, fold, grouped, join_crowded, mix, prepare, shingle_hashes, slices, stored, words_of
+from .blocks import SIMILAR, fold, grouped, join_dealt, mix, prepare, shingle_hashes, slices, stored, words_of
 
 #: Expected choices of a set at each level, the deepest level, and the largest bucket that is compared at once.
 BRANCH, DEPTH, CELL = 1.25, 3, 1000
@@ -132,19 +132,19 @@ def _features(docs: DataFrame, roots: np.ndarray) -> DataFrame:
 
 
 def _leaves(sets: DataFrame) -> DataFrame:
-    """(path, node, size) of the buckets in which pairs are compared: small ones of any level, and all of the last. Buckets of many sets are dealt over several tasks."""
+    """(path, node, size) of the buckets in which pairs are compared: small ones of any level, and all of the last. No bucket's sets come to one task."""
     leaves, big = None, None
     for level in range(1, DEPTH + 1):
         if level == 1:
             rows = sets.select("node", F.explode("path1").alias("path"))
         else:
             pairs = sets.select("node", F.explode(F.arrays_zip(F.col(f"up{level}").alias("up"), F.col(f"path{level}").alias("path"))).alias("p")).select("node", "p.up", "p.path")
-            rows = join_crowded(pairs, big, "up", "up_size", "node").select("node", "path")
+            rows = join_dealt(pairs, big, "up", "node").select("node", "path")
         sizes = stored(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        rows = stored(join_crowded(rows, sizes, "path", "size", "node"), "buckets")
+        rows = stored(join_dealt(rows, sizes, "path", "node"), "buckets")
         leaf = rows if level == DEPTH else rows.where(F.col("size") <= CELL)
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        big = sizes.where(F.col("size") > CELL).select(F.col("path").alias("up"), F.col("size").alias("up_size"))
+        big = sizes.where(F.col("size") > CELL).select(F.col("path").alias("up"))
     return leaves
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import bwt
-from .blocks import BLOCK, _tables, in_filter, join_crowded, mix, prepare, slices, stored
+from .blocks import BLOCK, _tables, in_filter, join_dealt, mix, prepare, slices, stored
 
 #: Bytes of a repeated string, of an anchor, and how many windows one anchor can serve.
 LENGTH, K = 400, 32
@@ -164,10 +164,9 @@ def decide(cells: DataFrame) -> DataFrame:
     cells = stored(cells, "cells")  # read three times
     where = F.struct(*[c for c in ("key", "at", "q", "i") if c in cells.columns])
     spans = cells.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(where).alias("first"))
-    cores = spans.groupBy("core").agg(F.sum("n").alias("cores"), F.sum((F.col("n") == 1).cast("long")).alias("alone"), F.count("*").alias("spans")).where("cores > 1")
-    cores = stored(cores, "cores")  # read three times
-    got = cells.join(join_crowded(spans, cores, "core", "spans", "span"), ["core", "span"])
-    return got.withColumn("open", (F.col("n") == 1) | (F.col("alone") > 0) & (where == F.col("first"))).drop("first", "alone", "spans")
+    cores = spans.groupBy("core").agg(F.sum("n").alias("cores"), F.sum((F.col("n") == 1).cast("long")).alias("alone")).where("cores > 1")
+    got = cells.join(join_dealt(spans, cores, "core", "span"), ["core", "span"])
+    return got.withColumn("open", (F.col("n") == 1) | (F.col("alone") > 0) & (where == F.col("first"))).drop("first", "alone")
 
 
 #: Bytes of the neighbourhood that an open anchor's cells are made of.
