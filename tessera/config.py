@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,7 @@ class Settings:
     enum_token: int = 2
     enum_extra: int = 3
     enum_picks: int = 8
+    enum_least_picks: int = 5
     # replies
     score_floor: float = 0.10
     score_cut: float = 0.25
@@ -75,6 +77,16 @@ class Settings:
 
 DEFAULT = Settings()
 
+
+def settings(conf: Mapping[str, str], prefix: str = "tessera.", base: Settings = DEFAULT) -> Settings:
+    """Settings with the values that a mapping (os.environ, or dict(spark.sparkContext.getConf().getAll())) has for them under prefix + name; tuples are comma-separated."""
+    found = {}
+    for f in fields(Settings):
+        if (text := conf.get(prefix + f.name)) is not None:
+            old = getattr(base, f.name)
+            found[f.name] = tuple(type(x)(float(v)) for x, v in zip(old, text.split(","), strict=True)) if isinstance(old, tuple) else type(old)(float(text))
+    return replace(base, **found)
+
 #: Fixed values that results depend on; sources.lexicons reads other lists from files.
 STOP_WORDS = tuple(
     "what how does when where which who why explain describe tell list find show give resolve can could should would do is are was were "
@@ -90,5 +102,8 @@ LEAD_INS = (r"how\s+(?:to|do|does|can|should|would)", r"what\s+(?:is|are|does)",
 #: Keys of request envelopes, and path elements that say nothing.
 ENVELOPE_KEYS = ("query", "question", "q", "text", "prompt", "search")
 PATH_NOISE = ("attributes", "configdata", "bulkcmconfigdatafile", "from", "then")
+#: The series that own the parameters of a technology, and those of a vendor's own configuration model.
+TECHNOLOGY_SERIES = {"lte": "36", "4g": "36", "eps": "36", "5g": "38", "nr": "38", "5gs": "38"}
+VENDOR_SERIES = {"juniper": "JUNIPER", "cisco": "CISCO", "nokia": "NOKIA"}
 #: The forms of valid filters.
 FILTER_FORMS = {"release": r"(?i)^Rel-\d{1,2}$", "series": r"(?i)^(?:[0-9]{2}|[A-Z]|CISCO|JUNIPER|NOKIA|MIB|RFC|ETSI-NFV|ETSI NFV|ITU-T|ITU-T-G|GSMA|O-RAN|TM-Forum|MEF)$", "doc_type": r"(?i)^(?:TS|TR|REC|RFC|GS|SPEC|CLI|YANG)$"}

@@ -54,6 +54,20 @@ def pinned(words: Column, table: dict[str, str]) -> Column:
     return terms_of(F.flatten(F.transform(hits, cleaned_words)))
 
 
+def canonical(name: Column, table: dict[str, str]) -> Column:
+    """The specifications' term for a name, in its place, if the table has another one for it."""
+    if not table:
+        return name
+    m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    alias = F.nullif(F.trim(F.try_element_at(m, clean_token(name))), F.lit(""))
+    return F.when(alias.isNotNull() & (F.lower(alias) != clean_token(name)), alias).otherwise(name)
+
+
+def label(intent: Column) -> Column:
+    """The name of an intent as it is shown."""
+    return F.translate(intent, "_", "-")
+
+
 def strict_terms(words: Column, every: Column, table: dict[str, str], s: Settings = DEFAULT) -> Column:
     """The terms of a strict query. words: those of the original, cleaned; every: the terms of the expanded query.
 

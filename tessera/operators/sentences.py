@@ -11,7 +11,7 @@ from ..functions import text as T
 
 def exploded(hits: DataFrame) -> DataFrame:
     """(query_id, chunk_key, i, sentence, score): sentences by position, scored by overlap with the query. hits: query_id, chunk_key, q, text."""
-    x = hits.select("query_id", "chunk_key", "q", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence"))
+    x = hits.select("query_id", "chunk_key", "q", F.posexplode(T.sentences(T.collapse(F.col("text")))).alias("i", "sentence"))
     return x.withColumn("score", T.jaccard(T.content_tokens(F.col("q")), T.content_tokens(F.col("sentence"))))
 
 
@@ -27,7 +27,7 @@ def eligible(df: DataFrame, gap: float, floor: float) -> DataFrame:
     """Sentences not far below the best of their text; if none is over the floor, the best one."""
     w = Window.partitionBy("query_id", "chunk_key")
     best = F.row_number().over(w.orderBy(F.desc("score"), "i")) == 1
-    x = df.withColumn("bar", F.greatest(F.lit(floor), F.max("score").over(w) - gap)).withColumn("best", best)
+    x = df.withColumn("bar", F.greatest(F.lit(floor), F.max("score").over(w) - F.lit(float(gap)))).withColumn("best", best)
     x = x.withColumn("some", F.max((F.col("score") >= F.col("bar")).cast("int")).over(w))
     return x.where((F.col("score") >= F.col("bar")) | (F.col("some") == 0) & F.col("best")).drop("bar", "best", "some")
 
@@ -63,20 +63,41 @@ def windowed(picked: DataFrame, all_: DataFrame, width: int) -> DataFrame:
     return x.withColumn("gap", F.coalesce(F.col("i") - before > 1, F.lit(False)))
 
 
+def paths(hits: DataFrame, preset: tuple, s: Settings = DEFAULT) -> DataFrame:
+    """hits with path, how a text's excerpt is made: blank, structure (lists of contents and tables, by their lines), short, list (parallel sentences; brief presets don't look for them) or prose."""
+    x = hits.withColumn("_t", T.collapse(F.col("text"))).withColumn("_s", T.sentences(F.col("_t")))
+    parallel = F.lit(False) if preset[0] < s.enum_least_picks else F.array_max(_buckets(F.col("_s"), s)) >= s.enum_bucket
+    path = F.when(F.coalesce("_t", F.lit("")) == "", "blank").when(T.shape(F.col("text"), s) != "prose", "structure").when(F.size("_s") <= 1, "short").when(F.coalesce(parallel, F.lit(False)), "list").otherwise("prose")
+    return x.withColumn("path", path).drop("_t", "_s")
+
+
+def _buckets(found, s: Settings):
+    """For each sentence the number of those with its bucket word."""
+    word = lambda x: F.lower(F.regexp_replace(F.coalesce(F.try_element_at(F.split(x, r"\s+"), F.lit(s.enum_index + 1)), F.lit("")), "[^A-Za-z0-9]", ""))
+    words = F.filter(F.transform(found, word), lambda w: F.length(w) >= s.enum_token)
+    return F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda v: v == w)))
+
+
 def excerpts(hits: DataFrame, preset: tuple, s: Settings = DEFAULT) -> DataFrame:
-    """(query_id, chunk_key, excerpt): contents lists are cut, single sentences stay, prose gets its best sentences with neighbours."""
+    """(query_id, chunk_key, excerpt), by path: structure is cut to a length, short texts stay whole, prose gives its best sentences with neighbours, and a list all its sentences over the
+    least score, up to a larger number, without regard to how alike they are."""
     picks, gap, lam, width, chars = preset
-    x = hits.select("query_id", "chunk_key", "q", "text").withColumn("shape", T.shape(F.col("text"), s)).withColumn("n", F.size(T.sentences(F.col("text"))))
-    toc = x.where("shape = 'toc'").select("query_id", "chunk_key", T.cap(F.col("text"), chars * s.toc_multiplier).alias("excerpt"))
-    short = x.where("shape <> 'toc' and n <= 1").select("query_id", "chunk_key", T.cap(F.col("text"), chars).alias("excerpt"))
-    every = exploded(x.where("shape <> 'toc' and n > 1"))
-    lists = enumerations(every.drop("q", "score"), s)
-    every = every.join(lists, ["query_id", "chunk_key"], "left").fillna(False, ["is_list"])
-    plain = mmr(eligible(every.where("not is_list"), gap, s.sentence_floor), picks, lam)
+    x = paths(hits.select("query_id", "chunk_key", "q", "text"), preset, s)
+    whole = T.collapse(F.col("text"))
+    plain = F.when(F.col("path") == "blank", "").when(F.col("path") == "structure", T.cap(whole, chars * s.toc_multiplier)).otherwise(whole)
+    rest = x.where("path not in ('list', 'prose')").select("query_id", "chunk_key", plain.alias("excerpt"))
+    every = exploded(x.where("path in ('list', 'prose')")).join(x.select("query_id", "chunk_key", "path"), ["query_id", "chunk_key"])
+    prose = mmr(eligible(every.where("path = 'prose'"), gap, s.sentence_floor), picks, lam)
     # with all weight on the score, greedy selection is a ranking
     best = F.row_number().over(Window.partitionBy("query_id", "chunk_key").orderBy(F.desc("score"), "i"))
-    many = every.where("is_list").withColumn("pick", best).where(F.col("pick") <= max(picks + s.enum_extra, s.enum_picks)).select("query_id", "chunk_key", "pick", "i")
-    chosen = windowed(plain.unionByName(many), every, width)
+    lists = eligible(every.where("path = 'list'"), float("inf"), s.sentence_floor)
+    many = lists.withColumn("pick", best).where(F.col("pick") <= max(picks + s.enum_extra, s.enum_picks)).select("query_id", "chunk_key", "pick", "i")
+    chosen = windowed(prose.unionByName(many), every, width)
     parts = F.array_sort(F.collect_list(F.struct("i", F.when(F.col("gap"), F.concat(F.lit("… "), F.col("sentence"))).otherwise(F.col("sentence")).alias("t"))))
-    text = chosen.groupBy("query_id", "chunk_key").agg(F.concat_ws(" ", F.transform(parts, lambda p: p["t"])).alias("t")).select("query_id", "chunk_key", T.cap(F.col("t"), chars).alias("excerpt"))
-    return text.unionByName(toc).unionByName(short)
+    text = chosen.groupBy("query_id", "chunk_key").agg(F.concat_ws(" ", F.transform(parts, lambda p: p["t"])).alias("excerpt"))
+    return text.unionByName(rest)
+
+
+def counters(hits: DataFrame, preset: tuple, s: Settings = DEFAULT) -> DataFrame:
+    """(path, n): how often each way to an excerpt is taken."""
+    return paths(hits, preset, s).groupBy("path").agg(F.count("*").alias("n"))

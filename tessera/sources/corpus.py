@@ -76,6 +76,23 @@ def read_vectors(spark: SparkSession, paths: list[str], dim: int) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "chunk_key string, embedding array<float>")
 
 
+def read_clauses(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """The clause units of all sources that have any; None where no source has a table of them."""
+    out = None
+    for i, p in enumerate(paths):
+        if exists(spark, f"{p}/clauses.parquet"):
+            raw = spark.read.parquet(f"{p}/clauses.parquet")
+            df = raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CLAUSES], F.lit(i).alias("db_idx"))
+            out = df if out is None else out.unionByName(df)
+    return out
+
+
+def dimension(metas: DataFrame, key: str = "embed_dim") -> DataFrame:
+    """(value, mismatch): the first source's number under a key that is one, 0 if none is, and whether sources disagree."""
+    own = metas.where(F.col("key") == key).select("db_idx", F.trim("value").try_cast("int").alias("value")).where("value is not null")
+    return own.agg(F.coalesce(F.min_by("value", "db_idx"), F.lit(0)).alias("value"), (F.countDistinct("value") > 1).alias("mismatch"))
+
+
 def meta_value(metas: DataFrame, key: str) -> DataFrame:
     """The value of the first source that has one, and whether sources disagree. metas: db_idx, key, value."""
     own = metas.where((F.col("key") == key) & F.col("value").isNotNull())

@@ -27,23 +27,31 @@ ROWS = [
 ]
 
 
+def raw(spark):
+    rows = [(k, sp, r, se, se, dt, f"title of {k}", i, n, t, 0, o) for o, (k, sp, r, se, dt, i, n, _, t) in enumerate(ROWS)]
+    chunks = spark.createDataFrame(rows, "chunk_key string, spec_id string, release string, series string, series_desc string, doc_type string, title string, chunk_index int, total_chunks int, text string, db_idx int, load_ord int")
+    return chunks, spark.createDataFrame([(r[0], r[7]) for r in ROWS], "chunk_key string, embedding array<float>")
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
-    rows = [(k, sp, r, se, se, dt, f"title of {k}", i, n, t, 0, o) for o, (k, sp, r, se, dt, i, n, _, t) in enumerate(ROWS)]
-    chunks = spark.createDataFrame(rows, "chunk_key string, spec_id string, release string, series string, series_desc string, doc_type string, title string, chunk_index int, total_chunks int, text string, db_idx int, load_ord int").cache()
-    vectors = spark.createDataFrame([(r[0], r[7]) for r in ROWS], "chunk_key string, embedding array<float>").cache()
-    return chunks, vectors
+    e = Engine.opened(*raw(spark))
+    return e.chunks, e.vectors, e.index
 
 
 def ask(spark, *rows):
     return spark.createDataFrame([(i, q, v) for i, (q, v) in enumerate(rows)], "query_id int, q string, vector array<float>")
 
 
+def engine(corpus, **options):
+    return Engine(corpus[0], corpus[1], index=corpus[2], **({"settings": S} | options))
+
+
 def hits(spark, corpus, q, v, k=10, cap=None, scorer=None, s=S, **more):
     asked = ask(spark, (q, v))
     for c, x in more.items():
         asked = asked.withColumn(c, F.lit(x))
-    final, drops = fusion.hybrid(asked, *corpus, k, cap, s, scorer)
+    final, drops = fusion.hybrid(asked, corpus[0], corpus[1], k, cap, s, scorer, index=corpus[2] if len(corpus) > 2 else None)
     return final.orderBy("rank").collect(), drops.collect()
 
 
@@ -102,29 +110,29 @@ def test_top_k_is_a_prefix(spark, corpus):
 
 
 def test_order_of_rows_does_not_matter(spark, corpus):
-    c, v = corpus
+    c, v = raw(spark)
     a = hits(spark, corpus, "measurement session", [0.7, 0.7, 0.1, 0.0])[0]
     b = hits(spark, (c.orderBy(F.desc("text")), v.orderBy(F.desc("chunk_key"))), "measurement session", [0.7, 0.7, 0.1, 0.0])[0]
     assert [(r.chunk_key, r.score) for r in a] == [(r.chunk_key, r.score) for r in b]
 
 
 def test_cascade_stages(spark, corpus):
-    c, _ = corpus
+    c, _, index = corpus
     q = ask(spark, ("legacy paging occasion", None), ("legacy paging nowhere", None), ("occasion frame area gap", None), ("zzz", None))
-    stage = {r.query_id: r.stage for r in lexical.cascade(q, c, 10, S).collect()}
+    stage = {r.query_id: r.stage for r in lexical.cascade(q, c, 10, S, index=index).collect()}
     assert stage == {0: 1, 1: 2, 2: 4}
-    pinned = lexical.cascade(ask(spark, ("ocasion unknown words", None)), c, 10, S, {"ocasion": "occasion"}).collect()
+    pinned = lexical.cascade(ask(spark, ("ocasion unknown words", None)), c, 10, S, {"ocasion": "occasion"}, index=index).collect()
     assert [(r.chunk_key, r.stage) for r in pinned] == [("c1", 3)]
 
 
 def test_phrases(spark, corpus):
-    c, _ = corpus
+    index = corpus[2]
     w = spark.createDataFrame([("5g-nas",), ("gap-reporting",), ("reporting-gap",)], "term string")
-    assert sorted((r.chunk_key, r.term) for r in lexical.term_hits(lexical.build(c), w, True).collect()) == [("a1", "gap-reporting"), ("c1", "5g-nas")]
+    assert sorted((r.chunk_key, r.term) for r in lexical.term_hits(index, w, True).collect()) == [("a1", "gap-reporting"), ("c1", "5g-nas")]
 
 
 def test_dense_search(spark, corpus):
-    c, v = corpus
+    c, v = raw(spark)
     got = dense.search(ask(spark, ("", [1.0, 0.0, 0.0, 0.0])), v, c, 3, S).orderBy("rank").collect()
     assert [r.chunk_key for r in got] == ["a1", "a2", "a3"] and round(got[1].score, 4) == 0.9806
     q = ask(spark, ("", [0.3, 0.4, 0.0, 0.1]), ("", [0.0, 0.0, 0.0, 0.0]), ("", None))
@@ -145,17 +153,18 @@ def test_confidence(spark, rows, level):
 
 
 def test_guards_and_engine(spark, corpus):
-    e = Engine(*corpus, S)
+    e = engine(corpus)
     q = ask(spark, ("what is measurement gap reporting", [1.0, 0.0, 0.0, 0.0]), ("  ", None), ("x" * 700, None), ('{"query": "legacy paging"}', [0.0, 0.0, 1.0, 0.0]))
     got, _ = e.search(q)
     assert {r.query_id for r in got.collect()} == {0, 3}
     assert got.where("rank = 1").orderBy("query_id").select("chunk_key").collect()[0].chunk_key == "a1"
     status = {r.query_id: (r.status, r.n_hits > 0) for r in e.batch(q).collect()}
     assert status == {0: ("ok", True), 2: ("document", False), 3: ("ok", True)}
-    two = Engine(*corpus, replace(S, batch=1)).batch(q)
+    two = engine(corpus, settings=replace(S, batch=1)).batch(q)
     assert {r.query_id: r.status for r in two.collect()} == {0: "ok", 2: "not_searched", 3: "not_searched"}
+    assert e.batch_totals(e.batch(q)).first().asDict() == {"batch_id": 0, "queries": 3, "dropped": 0, "no_match": 0, "failed": 1}
     reply = e.replies(q.where("query_id = 0")).first().reply
-    assert '"spec_id":"38.331"' in reply and '"confidence"' in reply
+    assert '"spec_id":"38.331"' in reply and '"top_score"' in reply and '"excerpt"' in reply
     assert "38.331" in e.replies(q.where("query_id = 0"), as_json=False).first().reply
     whole = render.batch_reply(e.replies(q.where("query_id in (0, 3)")), q.where("query_id in (0, 3)")).first().reply
     import json
@@ -168,7 +177,7 @@ def test_procedure(spark, corpus):
     aliases = spark.createDataFrame([(0, "nr", "5g"), (1, "e-utra", "lte")], "ord int, alias string, technology string")
     syn = spark.createDataFrame([(0, "handover", "measurement gap")], "ord int, key string, value string")
     q = ask(spark, ("handover session setup", [0.7, 0.7, 0.0, 0.0])).withColumn("technology", F.lit("NR radio"))
-    got = Engine(*corpus, S, scorer=None).procedure(q, layers, aliases, syn).orderBy("layer_ord", "place").collect()
+    got = engine(corpus, scorer=None).procedure(q, layers, aliases, syn).orderBy("layer_ord", "place").collect()
     assert {r.label for r in got} == {"radio", "system"} and all(r.score <= 1.0 for r in got)
     assert sum(r.label == "system" for r in got) == 1
 
@@ -199,9 +208,12 @@ def test_definitions(spark):
     got = lookup.definitions(asked, c).collect()
     assert [r.definition for r in got if r.query_id == 1] == ["ENUMERATED {x, y}", "ENUMERATED {z}", "INTEGER (0..7)", "ENUMERATED {x, y}"]
     assert [r.definition for r in got if r.query_id == 2] == ["INTEGER (0..7)", "ENUMERATED {x, y}"]
-    clauses = spark.createDataFrame([("38.331", "foo-Bar-Ext", "long text of the clause"), ("38.331", "my-foo-Bar", "t")], "spec_id string, ie_name string, text string")
-    got = lookup.clause_definitions(asked, clauses, c).where("query_id = 1").orderBy("rank").collect()
-    assert [r.name for r in got] == ["foo-Bar-Ext", "my-foo-Bar"]
+    clauses = spark.createDataFrame([("38.331", "c1", "foo-Bar-Ext", "38", "the long text of it: foo-Bar-Ext ::= INTEGER (1..9)"), ("38.331", "c2", "my", "38", "foo-Bar BIT STRING (SIZE (4)), x"), ("38.331", "c3", "foo-Bar", "38", "only named: foo-Bar")], "spec_id string, clause_id string, ie_name string, series string, text string")
+    got = lookup.clause_definitions(asked, clauses, c).orderBy("query_id", "rank").collect()
+    assert [(r.name, r.definition) for r in got if r.query_id == 1] == [("foo-Bar-Ext", "INTEGER (1..9)"), ("foo-Bar", "BIT STRING (SIZE (4))")]
+    assert [r.definition for r in got if r.query_id == 2] == ["INTEGER (0..7)", "ENUMERATED {x, y}"]
+    wild = spark.createDataFrame([(4, "foo_Bar", None), (5, "%", None)], "query_id int, name string, series string")
+    assert lookup.definitions(wild, c).count() == 0
 
 
 def test_neighbours(spark, corpus):
@@ -221,17 +233,29 @@ def test_audit(spark, corpus):
     x = lookup.audit_parameters(p, 1)
     rows = x.orderBy("pos").collect()
     assert [(r.name, r.context, r.queried) for r in rows] == [("measurement", "b/c/d", True), ("pag-ing", "y/z", False)]
-    assert lookup.audit_totals(x).first().asDict() == {"payload_id": 7, "total": 2, "names": 2, "queried": 1, "skipped": 1}
+    assert lookup.audit_totals(x).first().asDict() == {"payload_id": 7, "total": 2, "names": 2, "queried": 1, "planned_out": 0, "skipped": 1}
+    plan = spark.createDataFrame([(7, "measurement", False, None, "vendor"), (7, "pag-ing", None, "paging", None)], "payload_id int, name string, relevant boolean, term string, reason string")
+    y = lookup.audit_parameters(p, 9, {"measurement": "meas-Gap", "paging": "x"}, plan)
+    assert [(r.term, r.query, r.queried, r.planned_out, r.series) for r in y.orderBy("pos").collect()] == [("meas-Gap", "meas-Gap b c d", False, True, "38"), ("paging", "paging y z", True, False, "38")]
+    assert [r.a for r in p.select(lookup.is_audit(F.col("payload")).alias("a")).collect()] == [True, False, False, False] or [r.a for r in p.select(lookup.is_audit(F.col("payload")).alias("a")).collect()][:3] == [True, False, False]
     v = spark.createDataFrame([(7, 0, [1.0, 0.0, 0.0, 0.0]), (7, 2, [0.0, 0.0, 1.0, 0.0])], "payload_id int, pos int, vector array<float>")
-    got = {r.name: r.present for r in Engine(*corpus, S, scorer=None).audit(p, v).collect()}
+    got = {r.name: r.present for r in engine(corpus, scorer=None).audit(p, v, series_filter=False)[0].collect()}
     assert got == {"measurement": True, "pag-ing": True}
+    items = spark.createDataFrame([(1, "measurement", "a/b", None, None), (1, "absent", "a/b", None, None)], "payload_id int, parameterName string, moHierarchy string, goldenValue string, currentValue string")
+    docs = spark.createDataFrame([(1, "the Measurement is set")], "payload_id int, text string")
+    assert [(r.name, r.present) for r in engine(corpus, scorer=None).fan_out(docs, items, v)[0].collect()] == [("measurement", True)]
 
 
 def test_sentences(spark):
     text = "The cell is barred now. A timer starts at once. The timer stops when the cell is found. Nothing else matters here. Short."
     h = spark.createDataFrame([(0, "a", "timer of the cell", text), (0, "b", "q", "one sentence only"), (0, "c", "q", "Intro ..... 1\nBody ..... 2\nEnd ..... 3\n" * 40), (0, "d", "q", None)], "query_id int, chunk_key string, q string, text string")
     got = {r.chunk_key: r.excerpt for r in sentences.excerpts(h, (1, 0.2, 0.7, 0, 200), S).collect()}
-    assert "timer" in got["a"] and got["b"] == "one sentence only" and len(got["c"]) == 401 and got["c"].endswith("…")
+    assert "timer" in got["a"] and got["b"] == "one sentence only" and len(got["c"]) == 401 and got["c"].endswith("…") and got["d"] == ""
+    items = " ".join(f"The V-NF {i} is made {'of query words' if i < 6 else 'late'}." for i in range(9))
+    h = spark.createDataFrame([(0, "l", "the VNF query words made", items)], "query_id int, chunk_key string, q string, text string")
+    assert sentences.paths(h, (6, 0.0, 0.7, 0, 200), S).first().path == "list" and sentences.paths(h, (4, 0.0, 0.7, 0, 200), S).first().path == "prose"
+    assert sentences.excerpts(h, (6, 0.0, 0.7, 0, 200), replace(S, sentence_floor=0.3)).first().excerpt.count("query words") == 6
+    assert {r.path: r.n for r in sentences.counters(h, (6, 0.0, 0.7, 0, 200), S).collect()} == {"list": 1}
     x = spark.createDataFrame([(0, "a", 0, "alpha beta gamma", 0.9), (0, "a", 1, "alpha beta gamma", 0.89), (0, "a", 2, "delta epsilon", 0.8)], "query_id int, chunk_key string, i int, sentence string, score double")
     assert [r.i for r in sentences.mmr(x, 2, 0.5).orderBy("pick").collect()] == [0, 2]
     w = sentences.windowed(x.where("i <> 1").select("query_id", "chunk_key", "i"), x, 0).orderBy("i").collect()
@@ -249,7 +273,7 @@ def test_packing_and_clipping(spark):
 def test_query_log(spark, corpus, tmp_path):
     from tessera.streaming import log
 
-    h, _ = fusion.hybrid(ask(spark, ("measurement gap", [1.0, 0.0, 0.0, 0.0])), *corpus, 5, None, S, None)
+    h, _ = fusion.hybrid(ask(spark, ("measurement gap", [1.0, 0.0, 0.0, 0.0])), corpus[0], corpus[1], 5, None, S, None, index=corpus[2])
     for _ in range(2):
         render.write_log(ask(spark, ("measurement gap", None)), h, str(tmp_path / "log"))
     stream = log.rollup(log.read_log(spark, str(tmp_path / "log")), kind="query")

@@ -55,15 +55,30 @@ def test_clauses(spark):
 
 
 def test_replies(spark):
-    j = '{"q1": {"hits": [{"score": 0.9, "specId": "38.331", "title": "t"}]}, "q2": {"hits": []}, "_meta": {}}'
-    got = replies.json_hits(spark.createDataFrame([(1, j)], "reply_id int, reply string")).collect()
-    assert [(r.q, r.rank, r.spec_id) for r in got] == [("q1", 1, "38.331"), ("q2", None, None)]
-    text = "High confidence.\n1. [0.812] 38.331 (Rel-17) - Radio\n   snippet\n2. [0.500] 23.501 - Sys"
+    j = '{"q1": {"top_score": 0.9, "hits": [{"n": 1, "score": 0.9, "spec_id": "38.331", "title": "t"}]}, "q2": {"no_match": true, "hits": []}, "q3": {"not_searched": true}, "_meta": {"queries": 2}}'
+    got = replies.json_hits(spark.createDataFrame([(1, j)], "reply_id int, reply string")).orderBy("q").collect()
+    assert [(r.q, r.rank, r.spec_id) for r in got] == [("q1", 1, "38.331"), ("q2", None, None), ("q3", None, None)]
+    text = "Search results for: \"x\"\nConfidence: high (margin=0.100)\n[1] 38.331 | Rel-17 | Score: 0.8120\n    Title  : Radio\n    Key    : One [2] thing.\n[2] 23.501 | - | Score: 0.5000\n    Title  : Sys"
     got = replies.text_hits(spark.createDataFrame([(1, text)], "reply_id int, reply string")).orderBy("rank").collect()
-    assert [(r.rank, r.score, r.spec_id, r.release, r.title) for r in got] == [(1, 0.812, "38.331", "Rel-17", "Radio"), (2, 0.5, "23.501", None, "Sys")]
-    lay = "## Radio\n1. [0.812] 38.331 (Rel-17) - R\n## Core\nNo evidence found"
+    assert [(r.rank, r.score, r.spec_id, r.release, r.title, r.excerpt) for r in got] == [(1, 0.812, "38.331", "Rel-17", "Radio", "One [2] thing."), (2, 0.5, "23.501", None, "Sys", None)]
+    lay = "Evidence\n\n=== Radio (series 38) ===\n  38.331 | Rel-17 | chunk 4 | score 0.812\n    words\n\nNo strong evidence in: Core (series 23); Old (series 36)"
     got = replies.layer_hits(spark.createDataFrame([(1, lay)], "reply_id int, reply string")).orderBy("layer").collect()
-    assert [(r.layer, r.spec_id) for r in got] == [("Core", None), ("Radio", "38.331")]
+    assert [(r.layer, r.spec_id, r.score, r.chunk_index) for r in got] == [("Core", None, None, None), ("Old", None, None, None), ("Radio", "38.331", 0.812, 4)]
+
+
+def test_settings_from_text():
+    from tessera.config import DEFAULT, settings
+
+    s = settings({"tessera.rrf_k": "30", "tessera.min_score": "0.2", "tessera.brief": "3,0.1,0.5,0,200", "other": "x"})
+    assert (s.rrf_k, s.min_score, s.brief) == (30, 0.2, (3, 0.1, 0.5, 0, 200)) and settings({}) == DEFAULT
+
+
+def test_optional_tables(spark, tmp_path):
+    assert corpus.read_clauses(spark, [str(tmp_path)]) is None
+    spark.createDataFrame([("38.331", "c1", "foo", "t")], "spec_id string, clause_id string, ie_name string, text string").write.parquet(str(tmp_path / "clauses.parquet"))
+    assert corpus.read_clauses(spark, [str(tmp_path / "none"), str(tmp_path)]).first().db_idx == 1
+    m = spark.createDataFrame([(0, "embed_dim", "many"), (1, "embed_dim", " 8 "), (2, "embed_dim", "4")], "db_idx int, key string, value string")
+    assert corpus.dimension(m).first().asDict() == {"value": 8, "mismatch": True} and corpus.dimension(m.where("db_idx = 0")).first().value == 0
 
 
 def value(spark, column):
