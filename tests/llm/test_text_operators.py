@@ -510,23 +510,52 @@ def test_tiff_query(spark, odd):
 
 
 def test_token_files(spark, odd, none, clash):
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in token_files.counts(clash, RANKS).collect())
+    order = lambda x: (x[0] is None, *x) if x[0] is not None else (True, 0, x[1])
+    got = sorted(((r.doc_id, r.n_tokens) for r in token_files.counts(clash, RANKS).collect()), key=order)
     bpe = token_files.tokenizer(RANKS)
-    assert got == sorted((-1 if i is None else i, len(bpe.encode_ordinary(t or ""))) for i, t, *_ in ODD)
+    assert got == sorted(((i, len(bpe.encode_ordinary(t or ""))) for i, t, *_ in ODD), key=order)
     assert token_files.counts(none, RANKS).count() == 0
-
-
-def test_separators():
-    rng = np.random.default_rng(2)
-    for _ in range(50):
-        ids = np.where(rng.random(200) < 0.1, token_files.END, rng.integers(0, 5, 200)).astype(">u2")
-        whole = token_files.separators(ids, 1000)
-        for block in (1, 3, 64, 199, 200):
-            a, b = token_files.separators(ids, block)
-            assert (a == whole[0]).all() and (b == whole[1]).all()
-        assert (ids[whole[1]] == token_files.END).all()
-    rows = list(token_files._rows(np.array([1, 2, 3], ">u2").tobytes()))
-    assert rows[0].to_pylist() == [{"doc_id": -1, "at": 0, "n_tokens": 3, "end": False}]
+    keys = [0, -1, None, 2**63 - 1, -(2**63), 5]
+    assert token_files.keys_of(token_files.key_ids(keys)) == keys
+
+
+def plain_scan(data: bytes) -> list[tuple]:
+    """(key, at, tokens, end) id by id."""
+    ids, out, start = [int.from_bytes(data[i : i + 2], "big") for i in range(0, len(data) - 1, 2)], [], 0
+    for i, x in enumerate(ids):
+        if x == token_files.END:
+            head = ids[start : start + token_files.KEY_IDS]
+            key = None
+            if i - start >= token_files.KEY_IDS and not head[0] & token_files._NULL:
+                key = sum(h << (12 * (token_files.KEY_IDS - 1 - k)) for k, h in enumerate(head)) % 2**64
+                key -= 2**64 if key >= 2**63 else 0
+            out.append((key, start, max(i - start - token_files.KEY_IDS, 0), True))
+            start = i + 1
+    return out + ([(None, start, len(ids) - start, False)] if start < len(ids) else [])
+
+
+@pytest.mark.parametrize(("range_", "block"), [(1 << 20, 1 << 20), (150, 30)])
+def test_token_scan_by_ranges(spark, tmp_path, monkeypatch, range_, block):
+    """Files that are cut into byte ranges and blocks anywhere, with separators' bytes at odd places too, give what reading id by id does."""
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", block)
+    rng, want = np.random.default_rng(7), []
+    for f in range(4):
+        ids = []
+        for d in range(int(rng.integers(0, 30))):
+            body = rng.choice([5, 0x12C4, 0x8001, 0x80C4, 0xC3C4, 0x8000, 77], int(rng.integers(0, 12))).tolist()
+            ids += token_files.key_ids([int(rng.integers(-5, 99)) if d % 7 else None])[0].tolist() + body + [token_files.END]
+        ids += [9, 0x20C4][: f % 3] if f != 3 else [0x12C4]
+        data = np.array(ids, ">u2").tobytes()
+        (tmp_path / f"part-{f}").write_bytes(data)
+        want += [(f"part-{f}", *r) for r in plain_scan(data)]
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(range_))
+    try:
+        got = [(r.file, r.doc_id, r.at, r.n_tokens, r.end) for r in token_files.scan(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 20
 
 
 PAGES = [
