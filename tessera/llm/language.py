@@ -105,11 +105,16 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """(lang, text) of the SAMPLE different texts of each language whose hashes are the least. Copies are added up before anything is ranked, and each partition ranks its own first."""
-    hashes = docs.select("lang", F.xxhash64("text").alias("h")).distinct()
+    """(lang, h, text) of the SAMPLE different texts of each language whose hashes are the least. Copies are added up first, and of many hashes only the least, about three times as many as are wanted, are ranked."""
+    h = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    hashes = stored(docs.select("lang", h.alias("h")).distinct(), "hashes")
+    sizes = {r.lang: r["count"] for r in hashes.groupBy("lang").count().collect()}
+    if not sizes:
+        return docs.withColumn("h", h).limit(0)
+    bar = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(2**63 - 1, int(2**63 * 3 * SAMPLE / n)))])
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = hashes.withColumn("nth", nth).where(F.col("nth") <= SAMPLE).select("lang", "h")  # SAMPLE rows a language
-    return docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chosen = hashes.where(F.col("h") <= bar[F.col("lang")]).withColumn("nth", nth).where(F.col("nth") <= SAMPLE).select("lang", "h")  # SAMPLE rows a language
+    return docs.withColumn("h", h).join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame) -> Centroids | None:
