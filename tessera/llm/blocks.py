@@ -188,19 +188,25 @@ def in_filter(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """rows with a column `hit`: whether the value of a column may be among those of keys(key). Certain where false; equal values get equal answers."""
     bit = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS)
     words = keys.select(bit("key").alias("_b")).groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_b % 64 as int))")).alias("_bits"))
+    # never empty, so that the plan, and the rows it makes, are alike whether there are keys or not
+    words = words.unionByName(rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("_w"), F.lit(0).cast("long").alias("_bits")))
     held = rows.withColumn("_b", bit(column)).withColumn("_w", F.shiftright("_b", 6)).join(F.broadcast(words), "_w", "left")
     hit = F.coalesce(F.expr("(shiftrightunsigned(_bits, cast(_b % 64 as int)) & 1L) = 1L"), F.lit(False))
     return held.withColumn("hit", hit).drop("_b", "_w", "_bits")
 
 
-#: Tasks over which the rows of one key are dealt when they are joined with the key's facts.
-PARTS = 8
+#: A key with more rows than this is dealt over PARTS tasks when it is joined.
+CROWDED, PARTS = 1000, 32
 
 
-def join_dealt(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
-    """rows joined with facts, which has one row for each key. A key's rows are dealt by a hash of the column `by` over PARTS tasks, to each of which its fact goes, so no key lands in one task."""
-    many = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
-    one = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+def join_crowded(rows: DataFrame, facts: DataFrame, key: str, count: str, by: str) -> DataFrame:
+    """rows joined with facts, which has one row for each key and in `count` its number of rows. The rows of crowded keys are dealt by a hash of the column `by` over PARTS tasks, to each of
+    which their fact goes; a filter of fixed size tells both sides which keys these are."""
+    crowded = facts.where(F.col(count) > CROWDED).select(F.col(key).alias("key"))
+    part = F.when(F.col("hit"), F.pmod(F.xxhash64(by), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
+    many = in_filter(rows, key, crowded).withColumn("_part", part).drop("hit")
+    parts = F.when(F.col("hit"), F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    one = in_filter(facts, key, crowded).withColumn("_part", F.explode(parts)).drop("hit")
     return many.join(one, [key, "_part"]).drop("_part")
 
 
