@@ -9,6 +9,14 @@ from ..config import DEFAULT, Settings
 from ..functions import text as T
 
 
+def similar(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, doc_id, jaccard) of queries(query_id, a) and texts(doc_id, b), arrays of distinct tokens, where they share one; all others have similarity 0. Queries are a stated set."""
+    q = queries.select("query_id", F.size("a").alias("n"), F.explode("a").alias("t"))
+    d = texts.select("doc_id", F.size("b").alias("m"), F.explode("b").alias("t"))
+    both = d.join(F.broadcast(q), "t").groupBy("query_id", "doc_id", "n", "m").agg(F.count("*").alias("c"))
+    return both.select("query_id", "doc_id", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("jaccard"))
+
+
 def exploded(hits: DataFrame) -> DataFrame:
     """(query_id, chunk_key, i, sentence, score): sentences by position, scored by overlap with the query. hits: query_id, chunk_key, q, text."""
     x = hits.select("query_id", "chunk_key", "q", F.posexplode(T.sentences(T.collapse(F.col("text")))).alias("i", "sentence"))

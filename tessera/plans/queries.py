@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT as S
 from ..config import LEAD_INS
 from ..functions import text as T
 from ..operators import dense, fusion, lexical, lookup, routing, sentences
+from .. import storage
 from ..sources import corpus as C
+from ..sources import lexicons, replies
 from ..streaming import log
-from . import sql
+from . import render, sql
 from .engine import Engine
 from .sql import CHUNKS, DENSE, FUSED, INDEX, LEGS, LEXICAL, RERANKED, SUPPORT, TERMS, query, r4, r6
 
@@ -247,11 +249,16 @@ def study_report_flag(spark, sf):
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
 
 
-@register(f"SELECT page_id, host, n, (n <= 2 AND length(html) < {S.stub_chars}) AS stub FROM (SELECT page_id, html, {_HOST} AS host, count(*) OVER (PARTITION BY {_HOST}) AS n FROM pages)")
+@register(f"SELECT page_id, host, n, (n <= {S.stub_chunks} AND length(html) < {S.stub_chars}) AS stub FROM (SELECT page_id, html, {_HOST} AS host, count(*) OVER (PARTITION BY {_HOST}) AS n FROM pages)")
 def stub_suppression(spark, sf):
-    p = C.table(spark, sf, "pages").select("page_id", "html", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host"))
-    n = p.groupBy("host").agg(F.count("*").alias("n"))
-    return p.join(n, "host").select("page_id", "host", "n", ((F.col("n") <= S.stub_chunks) & (F.length("html") < S.stub_chars)).alias("stub"))
+    """Pages as chunks of their hosts, all fused hits of one query; what the pool rejects are stubs."""
+    p = C.table(spark, sf, "pages").select(F.col("page_id").alias("chunk_key"), F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("spec_id"), F.col("html").alias("text"), F.col("page_id").alias("load_ord"))
+    none = {c: F.lit(None).cast("string") for c in ("series", "release", "doc_type", "title")}
+    p = fusion.facts(p.withColumns(none | {"db_idx": F.lit(0), "chunk_index": F.lit(0)}))
+    fused = p.select(F.lit(0).alias("query_id"), "chunk_key", F.lit(1.0).alias("rrf"), F.lit(1).alias("d_rank"), F.lit(None).cast("int").alias("l_rank"))
+    q = spark.createDataFrame([(0, "any")], "query_id int, q string")
+    kept = fusion.pool(fused, p, q, 1 << 30, 1 << 30, reject_binary=False).select("chunk_key", F.lit(True).alias("kept"))
+    return p.join(kept, "chunk_key", "left").select(F.col("chunk_key").alias("page_id"), F.col("spec_id").alias("host"), F.col("spec_chunks").alias("n"), F.col("kept").isNull().alias("stub"))
 
 
 @register(r"SELECT page_id, trim(html) = '' OR length(regexp_replace(substr(html, 1, 600), '[\x20-\x7E\n\r\t]', '', 'g')) * 100 > length(substr(html, 1, 600)) AS is_binary FROM pages")
@@ -286,15 +293,14 @@ def enumeration_detect(spark, sf):
 
 @register(
     query(
-        [CHUNKS, TERMS],
-        f"""SELECT query_id, doc_id, {r6("CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) END")} AS jaccard
- FROM (SELECT query_id, {sql.content("q")} AS a FROM qs) CROSS JOIN (SELECT doc_id, {sql.content("text")} AS b FROM documents WHERE n_chars < 300)""",
+        [CHUNKS, TERMS, f"qt_ AS (SELECT query_id, len(a) AS n, unnest(a) AS t FROM (SELECT query_id, {sql.content('q')} AS a FROM qs))", f"dt_ AS (SELECT doc_id, len(b) AS m, unnest(b) AS t FROM (SELECT doc_id, {sql.content('text')} AS b FROM documents))"],
+        f"SELECT query_id, doc_id, {r6('c / CAST(n + m - c AS DOUBLE)')} AS jaccard FROM (SELECT query_id, doc_id, n, m, count(*) AS c FROM qt_ JOIN dt_ USING (t) GROUP BY 1, 2, 3, 4)",
     )
 )
 def jaccard_pairs(spark, sf):
     q = C.queries_from_tables(spark, sf).select("query_id", T.content_tokens(F.col("q")).alias("a"))
-    d = C.table(spark, sf, "documents").where("n_chars < 300").select("doc_id", T.content_tokens(F.col("text")).alias("b"))
-    return d.join(F.broadcast(q)).select("query_id", "doc_id", T.round_to(T.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    d = C.table(spark, sf, "documents").select("doc_id", T.content_tokens(F.col("text")).alias("b"))
+    return sentences.similar(q, d).select("query_id", "doc_id", T.round_to(F.col("jaccard"), 6).alias("jaccard"))
 
 
 def _best_docs(spark, sf):
@@ -387,14 +393,16 @@ def intent_keyword(spark, sf):
 
 @register(
     query(
-        [f"ex AS (SELECT vec_id, label, {sql._unit('embedding')} AS v FROM embeddings WHERE vec_id < 30)", f"qq AS (SELECT vec_id AS query_id, {sql._unit('embedding')} AS v FROM embeddings WHERE vec_id >= 30)"],
-        f"SELECT query_id, intent, similarity FROM (SELECT query_id, CAST(label AS VARCHAR) AS intent, s AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n FROM (SELECT query_id, label, vec_id, {r6('list_dot_product(ex.v, qq.v)')} AS s FROM ex CROSS JOIN qq)) WHERE n = 1 AND similarity >= 0.1",
+        [f"ex AS (SELECT row_number() OVER (ORDER BY label) AS ord, label, {sql._unit('list_value(' + ', '.join(f'avg(embedding[{i + 1}])' for i in range(64)) + ')')} AS v FROM embeddings GROUP BY label)", f"qq AS (SELECT vec_id AS query_id, {sql._unit('embedding')} AS v FROM embeddings)"],
+        f"SELECT query_id, intent, similarity FROM (SELECT query_id, CAST(label AS VARCHAR) AS intent, s AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ord) AS n FROM (SELECT query_id, label, ord, {r6('list_dot_product(ex.v, qq.v)')} AS s FROM ex CROSS JOIN qq)) WHERE n = 1 AND similarity >= 0.1",
     )
 )
 def intent_exemplar(spark, sf):
+    """Exemplars are the means of the labels' vectors; all vectors are queries."""
     e = C.table(spark, sf, "embeddings")
-    ex = e.where("vec_id < 30").select(F.col("vec_id").alias("ord"), F.col("label").cast("string").alias("intent"), F.col("embedding").alias("vector"))
-    return routing.nearest_exemplar(e.where("vec_id >= 30").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), ex, replace(S, intent_similarity=0.1))
+    means = e.groupBy("label").agg(F.array(*[F.avg(F.col("embedding")[i]) for i in range(64)]).alias("vector"))
+    ex = means.select(F.col("label").alias("ord"), F.col("label").cast("string").alias("intent"), "vector")
+    return routing.nearest_exemplar(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), ex, replace(S, intent_similarity=0.1))
 
 
 _GLOSS = {"TION": "a common ending", "THAT": "a pronoun", "ER": "an ending"}
@@ -449,7 +457,10 @@ def list_series(spark, sf):
     return lookup.list_series(spark.createDataFrame(_CATALOGUE, "series string, name string"), C.chunks_from_tables(spark, sf))
 
 
-@register(query([CHUNKS], f"SELECT count(*) AS chunks, count(DISTINCT spec_id) AS specs, count(DISTINCT series) AS series, count(DISTINCT db_idx) AS sources, (SELECT count(*) FROM (SELECT spec_id FROM ch GROUP BY 1 HAVING count(*) <= {S.stub_chunks})) AS stubs FROM ch"))
+_STATS = f"count(*) AS chunks, count(DISTINCT spec_id) AS specs, count(DISTINCT series) AS series, count(DISTINCT db_idx) AS sources, (SELECT count(*) FROM (SELECT spec_id FROM ch GROUP BY 1 HAVING count(*) <= {S.stub_chunks})) AS stubs FROM ch"
+
+
+@register(query([CHUNKS], f"SELECT {_STATS}"))
 def kb_stats(spark, sf):
     return lookup.stats(C.chunks_from_tables(spark, sf))
 
@@ -475,18 +486,22 @@ def adjacent_context(spark, sf):
     return lookup.neighbours(c.select(F.lit(0).alias("query_id"), "chunk_key"), c).select("chunk_key", "before", "after")
 
 
-_LINK = r'href="/%s()">([^<]{1,80})<'
+_NAMED = r"(?i)\b(%s(?:-[A-Za-z0-9]+)*)\s*()"
 
 
 @register(
-    r"""SELECT page_id, name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/[^"]*">([^<]{1,80})<', 1)) AS name FROM pages) WHERE name IN ('the', 'and', 'to') GROUP BY 1, 2"""
+    query(
+        [CHUNKS, "names AS (SELECT * FROM (VALUES (1, 'license'), (2, 'password'), (3, 'e_n')) t(query_id, name))", r"found AS (SELECT query_id, chunk_key, spec_id, load_ord, unnest(regexp_extract_all(text, '\b' || name || '(-[A-Za-z0-9]+)*', 0, 'i')) AS name FROM ch JOIN names ON text ILIKE '%' || name || '%' WHERE NOT (trim(text) = '' OR length(regexp_replace(substr(text, 1, 600), '[\x20-\x7E\n\r\t]', '', 'g')) * 5 > length(substr(text, 1, 600))))"],
+        "SELECT query_id, spec_id, name, row_number() OVER (PARTITION BY query_id ORDER BY first, spec_id, name) AS place FROM (SELECT query_id, spec_id, name, min(load_ord) AS first FROM found GROUP BY 1, 2, 3)",
+    )
 )
 def definition_lookup(spark, sf):
-    p = C.table(spark, sf, "pages").select("page_id", F.col("page_id").alias("load_ord"), F.concat(F.lit("p"), F.col("page_id")).alias("spec_id"), F.lit("x").alias("series"), F.col("html").alias("text"))
-    asked = spark.createDataFrame([(1, "the"), (2, "and"), (3, "to")], "query_id int, name string")
-    x = p.join(F.broadcast(asked), F.lower("text").contains(F.concat(F.lit(">"), F.col("name"), F.lit("<"))))
-    found = x.select("page_id", "name", F.explode(lookup._matches("text", F.concat(F.lit('(href="/[^"]*">)('), F.col("name"), F.lit(")<")))).alias("m"))
-    return found.groupBy("page_id", "name").agg(F.count("*").alias("n"))
+    """The definition lookup with a pattern that the driver's prose has matches of."""
+    asked = spark.createDataFrame([(1, "license"), (2, "password"), (3, "e_n")], "query_id int, name string")
+    c = C.chunks_from_tables(spark, sf)
+    got = lookup._matched(asked, c.where(~T.is_binary(F.col("text"))), _NAMED).groupBy("query_id", "spec_id", F.col("m.name").alias("name")).agg(F.min("load_ord").alias("first"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("first", "spec_id", "name"))
+    return got.select("query_id", "spec_id", "name", place.alias("place"))
 
 
 @register(
@@ -511,6 +526,92 @@ def citation_check(spark, sf):
     return lookup.citations(drafts, hits)
 
 
+@register(query([CHUNKS, TERMS, DENSE], f"""SELECT query_id, chunk_key, score, rank FROM (SELECT query_id, chunk_key, score, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, spec_id ORDER BY r) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, load_ord) AS r FROM cosine) WHERE r <= least(greatest(10 * {S.oversample}, 10), {S.oversample_max})) JOIN ch USING (chunk_key)
+ WHERE n <= {S.dense_cap} AND NOT (trim(text) = '' OR length(regexp_replace(substr(text, 1, 600), '[\\x20-\\x7E\\n\\r\\t]', '', 'g')) * 5 > length(substr(text, 1, 600)))) WHERE rank <= 10"""))
+def dense_search(spark, sf):
+    c, v, q = _data(spark, sf)
+    return dense.search(q, v, c, 10).select("query_id", "chunk_key", "score", "rank")
+
+
+@register(query([CHUNKS, TERMS], f"""SELECT query_id, string_agg(term, ' ' ORDER BY k) AS strict FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY spec, length(term), term) AS k, digits FROM (SELECT *, sum(CASE WHEN spec = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS digits FROM
+ (SELECT query_id, term, CASE WHEN regexp_matches(term, '[0-9]') THEN 0 WHEN contains(term, '-') THEN 1 WHEN length(term) <= 6 THEN 2 WHEN length(term) <= 9 THEN 3 ELSE 4 END AS spec FROM (SELECT query_id, term FROM qt UNION SELECT query_id, 'x-ray' FROM qs UNION SELECT query_id, '5gc' FROM qs WHERE (SELECT count(*) FROM qt WHERE qt.query_id = qs.query_id AND length(term) <= 6 AND NOT regexp_matches(term, '[0-9-]')) < {S.short_terms})))) WHERE k <= CASE WHEN digits > {S.and_limit} THEN least(digits, {S.digit_limit}) ELSE {S.and_limit} END GROUP BY 1"""))
+def expanded_strict_terms(spark, sf):
+    """The strict stage's terms where an expansion adds a short hyphenated one, a long one, and one with a digit."""
+    q = C.queries_from_tables(spark, sf).select("query_id", F.col("q").alias("original"), F.concat("q", F.lit(" x-ray non-access 5gc")).alias("q"))
+    got = lexical.stages(q).where("stage = 1")
+    keyed = F.array_sort(F.collect_list(F.struct(T.specificity(F.col("term")).alias("s"), F.length("term").alias("n"), "term")))
+    return got.groupBy("query_id").agg(F.array_join(F.transform(keyed, lambda x: x["term"]), " ").alias("strict"))
+
+
+@register(
+    r"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[,\n]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l, coalesce((SELECT string_agg(text, ' ' ORDER BY turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn > a.turn), '') AS answer FROM conversations a WHERE NOT starts_with(trim(text, ' '), '{') AND NOT ends_with(trim(text, ' '), '?'))
+ SELECT conv_id || ':' || turn AS key, count(*) AS items, count(*) FILTER (ran) AS searched, count(*) FILTER (contains(lower(answer), lower(item))) AS in_answer FROM (SELECT conv_id, turn, answer, item, bool_or(p % 2 = 0) OVER (PARTITION BY conv_id, turn, lower(item)) AS ran FROM (SELECT conv_id, turn, answer, unnest(l) AS item, unnest(range(len(l))) AS p FROM l WHERE len(l) >= 3 AND len(list_filter(l, lambda x: length(x) > 60 OR len(regexp_split_to_array(x, '\s+')) > 8 OR contains(x, '?'))) = 0)) GROUP BY conv_id, turn"""
+)
+def list_coverage(spark, sf):
+    """Lists in conversations: every other item counts as searched, and the later turns as the answer."""
+    c = C.table(spark, sf, "conversations")
+    key = F.concat_ws(":", "conv_id", "turn")
+    later = c.alias("a").join(c.alias("b"), F.expr("a.conv_id = b.conv_id AND b.turn > a.turn"), "left").groupBy("a.conv_id", "a.turn").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("b.turn", "b.text"))), lambda x: x["text"])).alias("answer"))
+    q = c.join(later, ["conv_id", "turn"]).select(key.alias("key"), F.col("text").alias("q"), "answer")
+    ran = q.select("key", F.posexplode(T.list_items(F.col("q"))).alias("i", "q")).where("i % 2 = 0").select("key", "q")
+    return lookup.list_coverage(q, ran).select("key", "items", "searched", "in_answer")
+
+
+@register("SELECT series, rpad(series, 8, ' ') || ' ' || rpad(CASE WHEN series IN (SELECT lang FROM documents) THEN 'yes' ELSE 'no' END, 9, ' ') || ' ' || name AS line FROM (VALUES " + ", ".join(map(str, _CATALOGUE)) + ") t(series, name)")
+def series_table(spark, sf):
+    return render.series_table(list_series(spark, sf))
+
+
+@register(query([CHUNKS], """SELECT spec_id, rpad(spec_id, 14, ' ') || ' ' || rpad(coalesce(doc_type, '-'), 5, ' ') || ' ' || rpad(coalesce(release, '-'), 10, ' ') || ' ' || rpad(CAST(total_chunks AS VARCHAR), 8, ' ') || ' ' || series AS line FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY db_idx DESC, total_chunks DESC, load_ord) AS n FROM ch) WHERE n = 1"""))
+def spec_table(spark, sf):
+    return render.spec_table(list_specs(spark, sf))
+
+
+@register(query([CHUNKS, f"st_ AS (SELECT {_STATS})"], "SELECT 0 AS ord, rpad('Total chunks', 18, ' ') || ': ' || format('{:,}', chunks) AS line FROM st_ UNION ALL SELECT 1, rpad('Unique specs', 18, ' ') || ': ' || specs FROM st_ UNION ALL SELECT 2, rpad('  Substantive', 18, ' ') || ': ' || (specs - stubs) FROM st_ UNION ALL SELECT 3, rpad('  Stub-only', 18, ' ') || ': ' || stubs FROM st_ UNION ALL SELECT 4, rpad('Series', 18, ' ') || ': ' || series FROM st_ UNION ALL SELECT 5, rpad('Sources', 18, ' ') || ': ' || sources FROM st_"))
+def stats_lines(spark, sf):
+    return render.stats_lines(kb_stats(spark, sf))
+
+
+@register(query(_RERANK, f"SELECT query_id, rank, spec_id, {r4('score')} AS score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM hits) WHERE score >= greatest({S.score_floor}, m * {S.score_cut})"))
+def text_round_trip(spark, sf):
+    """Replies as text, read back."""
+    got = opened(spark, sf).single(C.queries_from_tables(spark, sf)).select(F.col("query_id").alias("reply_id"), "reply")
+    return replies.text_hits(got).select(F.col("reply_id").alias("query_id"), "rank", "spec_id", "score")
+
+
+@register(SQL["text_round_trip"])
+def json_round_trip(spark, sf):
+    """Replies as JSON, read back."""
+    got = opened(spark, sf).single(C.queries_from_tables(spark, sf), as_json=True).select(F.col("query_id").alias("reply_id"), F.concat(F.lit('{"q": '), "reply", F.lit("}")).alias("reply"))
+    return replies.json_hits(got).where("rank is not null").select(F.col("reply_id").alias("query_id"), "rank", "spec_id", "score")
+
+
+@register("SELECT n_name AS key, 'Region ' || r_name AS value FROM (SELECT upper(n_name) AS n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)")
+def glossary_from_file(spark, sf):
+    """A glossary written as lines with comments and blank ones, and read by its reader; of repeated keys the last counts."""
+    rows = C.table(spark, sf, "nation").join(C.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = rows.select(F.explode(F.array(F.lit("# comment"), F.lit(""), F.concat("n_name", F.lit("\tno")), F.concat(F.lower("n_name"), F.lit("\tRegion "), "r_name"), F.lit("no tab"))).alias("value"))
+    return lexicons.glossary(spark, _file(lines, "glossary"))
+
+
+def _file(lines: DataFrame, name: str) -> str:
+    path = storage.fresh(lines.sparkSession, name)
+    lines.coalesce(1).write.text(path)
+    return path
+
+
+@register("SELECT DISTINCT lower(p_brand) AS token FROM part")
+def tokens_from_file(spark, sf):
+    return lexicons.token_list(spark, _file(C.table(spark, sf, "part").select(F.concat(F.lit("  "), F.upper("p_brand"), F.lit(" "))), "tokens"))
+
+
+@register("SELECT lower(n_name) AS marker, 's' || n_nationkey AS spec_id, 's' || n_nationkey AS topic, n_regionkey <> 1 AS block FROM nation")
+def ownership_from_file(spark, sf):
+    n = C.table(spark, sf, "nation")
+    lines = n.select(F.concat_ws("\t", "n_name", F.concat(F.lit("s"), F.col("n_nationkey").cast("string")), F.lit(""), F.when(F.col("n_regionkey") == 1, "NOTE").otherwise("block")))
+    return lexicons.ownership(spark, _file(lines, "ownership")).select("marker", "spec_id", "topic", "block")
+
+
 # composites
 
 
@@ -520,7 +621,7 @@ def procedure_layers(spark, sf):
     layers = spark.createDataFrame([("en", 1, "5g", 3, ["src1"], "English"), ("de", 2, "5g", 2, [], "German"), ("it", 3, "5g", 2, [], "Italian")], "series string, ord int, technology string, per_layer int, prefer array<string>, label string")
     aliases = spark.createDataFrame([(0, "nr", "5g"), (1, "lte", "lte")], "ord int, alias string, technology string")
     syn = spark.createDataFrame([(0, "that", "the")], "ord int, key string, value string")
-    return opened(spark, sf).procedure(q.withColumn("technology", F.lit("NR")), layers, aliases, syn).drop("text")
+    return opened(spark, sf).procedure(q.withColumn("technology", F.lit("NR")), layers, aliases, syn).drop("text", "excerpt")
 
 
 @register(
@@ -532,7 +633,7 @@ def procedure_layers(spark, sf):
 )
 def batch_search(spark, sf):
     c, v, q = _data(spark, sf)
-    return opened(spark, sf).batch(q)
+    return opened(spark, sf).batch(q).select("query_id", "status", "n_hits")
 
 
 
