@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import text as T
+from ..storage import stored
 
 
 def similar(queries: DataFrame, texts: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def excerpts(hits: DataFrame, preset: tuple, s: Settings = DEFAULT) -> DataFrame
     """(query_id, chunk_key, excerpt), by path: structure is cut to a length, short texts stay whole, prose gives its best sentences with neighbours, and a list all its sentences over the
     least score, up to a larger number, without regard to how alike they are."""
     picks, gap, lam, width, chars = preset
-    x = paths(hits.select("query_id", "chunk_key", "q", "text"), preset, s)
+    x = stored(paths(hits.select("query_id", "chunk_key", "q", "text"), preset, s), "texts")
     whole = T.collapse(F.col("text"))
     plain = F.when(F.col("path") == "blank", "").when(F.col("path") == "structure", T.cap(whole, chars * s.toc_multiplier)).otherwise(whole)
     rest = x.where("path not in ('list', 'prose')").select("query_id", "chunk_key", plain.alias("excerpt"))

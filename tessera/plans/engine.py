@@ -87,7 +87,8 @@ class Engine:
         seen = stored(self.checked(requests), "requests")
         run = seen.where("status is null").drop("status")
         hits, drops = self.search(run.drop("caveat", "ignored_filters"), k, cap)
-        hits = stored(self._told(render.drop_notes(hits, drops, self.settings), verbosity), "hits")
+        hits = stored(render.drop_notes(hits, drops, self.settings), "hits")
+        hits = stored(self._told(hits, verbosity), "hits")
         conf = fusion.confidence(hits, run, self.settings).join(run.select("query_id", "q"), "query_id")
         notes = run.select("query_id", "caveat")
         notes = notes.withColumn("intent", F.lit(None).cast("string")) if intents is None else notes.join(intents.select("query_id", T.label(F.col("intent")).alias("intent")), "query_id", "left")
