@@ -6,7 +6,6 @@ All of it runs in blocks of bounded size, so memory doesn't follow the longest t
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh, stored  # noqa: F401
+
 #: Words in a shingle, and the least similarity of near duplicates.
 SHINGLE, SIMILAR = 5, 0.8
 #: Bytes that are hashed at once.
@@ -214,32 +215,3 @@ def prepare(spark: SparkSession) -> None:
     """Small Arrow batches: long texts must not add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
-def shared(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or on a single machine one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the session ends."""
-    path = f"{shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

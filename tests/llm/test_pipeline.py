@@ -45,6 +45,20 @@ def test_stages_on_the_small_tables(spark, sf):
 
 @pytest.mark.parametrize("k", range(5))
 def test_stage_on_odd_rows(spark, sf, k):
-    stage = corpus_pipeline.STAGES[k][1]
-    assert stage(spark, spark.createDataFrame(ODD, SCHEMA), sf).collect() is not None
+    """No stage loses rows that it has no reason to drop: those without id, repeated ids with other texts, nulls."""
+    stage, docs = corpus_pipeline.STAGES[k][1], spark.createDataFrame(ODD, SCHEMA)
+    got = stage(spark, docs, sf)
+    rows = got.collect()
+    if k < 4:
+        assert got.columns == docs.columns
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in rows)
+    every = sorted((i is None, i or 0) for i, *_ in ODD)
+    if k == 1:
+        assert ids == sorted(set(every) - {(False, 5)})
+    elif k in (2, 3):
+        assert ids == every
+    elif k == 4:
+        assert {(r.doc_id, r.sample) for r in rows} >= {(i, 0) for i, *_ in ODD}
+    else:
+        assert not {2, 3, 4} & {r.doc_id for r in rows}
     assert stage(spark, spark.createDataFrame([], SCHEMA), sf).count() == 0

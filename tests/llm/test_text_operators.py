@@ -243,6 +243,21 @@ def test_join_by_brute_force(spark, monkeypatch):
     assert want.n_links.max() > 10
 
 
+def test_join_of_split_buckets(spark, monkeypatch):
+    """Buckets beyond a cell are split by path, and at the last level into cells; links are still found."""
+    monkeypatch.setattr(chosen_path, "CELL", 5)
+    r = random.Random(9)
+    base, texts = [words(50, i) for i in range(2)], []
+    for i in range(60):
+        w = base[i % 2].split()
+        w[r.randrange(len(w))] = f"z{i}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = chosen_path.join(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = chosen_path.brute_force(texts, list(range(60)))
+    assert got.n_links.sum() >= 0.99 * want.n_links.sum() and (got.n_links <= want.n_links).all() and (got.class_id == want.class_id).all() and want.n_links.min() > 20
+
+
 def test_join_deep_buckets():
     """A bucket of more sets than a cell is split, and compared in full at the last level."""
     t = [np.unique(np.random.default_rng(i).integers(0, 2**63, 50).astype(np.uint64)) for i in range(3)]
@@ -509,6 +524,21 @@ def test_tiff_query(spark, odd):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
 
 
+def test_tiff_query_on_odd_tables(spark, none):
+    """Texts over one page, repeated rows, clashing columns, empty tables; equal texts give equal values."""
+    long = "é" * 700_000
+    rows = [(1, long), (2, long), (2, "a"), (2, "a"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit("clash")).select("doc_id", F.col("text").cast("binary").alias("text"))
+    got = docs.select("doc_id", "text", tiff.stored_as_tiff("text").alias("m")).select("doc_id", "text", F.length("m").alias("size"), tiff.digested("m").alias("d")).select("doc_id", "text", "size", "d.*").collect()
+    assert len(got) == 5
+    for r in got:
+        x = bytes(r.text or b"")
+        want = x.ljust(max(1, -(-len(x) // 576)) * 576, b"\xff")
+        assert (r.payload_bytes, r.payload_sha256, r.media_bytes) == (len(want), hashlib.sha256(want).hexdigest(), r.size)
+    assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in got}) == 3
+    assert none.select(tiff.digested(tiff.stored_as_tiff(F.col("text").cast("binary")))).count() == 0
+
+
 def test_token_files(spark, odd, none, clash):
     order = lambda x: (x[0] is None, *x) if x[0] is not None else (True, 0, x[1])
     got = sorted(((r.doc_id, r.n_tokens) for r in token_files.counts(clash, RANKS).collect()), key=order)
