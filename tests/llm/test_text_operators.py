@@ -247,7 +247,7 @@ def test_join_of_split_buckets(spark, monkeypatch):
     """Buckets beyond a cell are split by path, and at the last level into cells; links are still found."""
     monkeypatch.setattr(chosen_path, "CELL", 5)
     r = random.Random(9)
-    base, texts = [words(50, i) for i in range(2)], []
+    base, texts = [words(150, i) for i in range(2)], []
     for i in range(60):
         w = base[i % 2].split()
         w[r.randrange(len(w))] = f"z{i}"
