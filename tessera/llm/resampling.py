@@ -10,8 +10,8 @@ separates the labelled sample, so a corpus without junk keeps its documents.
 Features: tokens (runs of word bytes or of punctuation, case kept) hashed alone and in pairs, and
 the shapes of tokens (case, digits, kind, length class, whether a token repeats the one before it)
 alone, in pairs and in threes, all within one text. Whole texts are read, long ones in blocks that are cut between tokens and overlap by
-two (only a token of over half a BLOCK may be cut). A text's weight depends on the text and the models alone. Texts are read twice, for the counts and for the weights, which
-are stored with the rows.
+two (only a token of over half a BLOCK may be cut). A text's weight depends on the text and the models alone. Texts are read twice, for the counts and for the weights, and
+once more where whole rows are returned.
 
 Defined results: null, empty and blank texts have weight -inf and are rejected. Copies of a row are
 kept or rejected together, as their id seeds their noise (rows without id have one noise); rows that tie with the k-th sum are kept
@@ -215,14 +215,16 @@ def weighed(docs: DataFrame, model: Model, seed: int = 0) -> DataFrame:
 
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = 0, columns: list[str] | None = None) -> DataFrame:
-    """Every row with its columns (or doc_id and those given), log_weight, sample_key and kept. Rows with their weights are written to the shared folder once."""
+    """Every row with its columns (or doc_id and those given), log_weight, sample_key and kept.
+
+    Weights are stored with the ids alone. Where more columns are wanted, they are worked out again for the rows, to the same values, which takes less disk than storing whole rows.
+    """
     own = ["log_weight", "sample_key"]
     columns = [c for c in (docs.columns if columns is None else ["doc_id", *columns]) if c not in (*own, "kept")]
     model = fit(docs, labels)
     rows = weighed(docs, model, seed).select(*columns, *own)
     if model.ratio is None:
         return rows.withColumn("kept", F.lit(True))
-    rows = stored(rows, "weights")
-    cut = cut_of(rows.select("doc_id", "log_weight"), model)
-    k = rows.where(F.col("log_weight") > cut).count()
-    return rows.select(*columns, *own).withColumn("kept", F.col("sample_key") >= kth_largest(rows, "sample_key", k))
+    weights = stored(weighed(docs.select("doc_id", "text"), model, seed).select("doc_id", *own), "weights")
+    k = weights.where(F.col("log_weight") > cut_of(weights, model)).count()
+    return (weights if columns == ["doc_id"] else rows).withColumn("kept", F.col("sample_key") >= kth_largest(weights, "sample_key", k))
