@@ -13,8 +13,8 @@ each drawn segmentation its inclusion score, log(1 - exp(-exp(log p - threshold)
 
 The noise is a hash of the row's key, the number of the path and the place in the text, so results
 don't depend on partitions or batches. A text is cut into units (a word with the spaces before it, of at most
-512 bytes) that no piece crosses; the sampling of all units of a block of texts runs in step, in numpy. Texts of over 2 MiB are sampled in parts of
-1 MiB, whose lattices are made one at a time, so memory beside the text and its ids is bounded.
+512 bytes) that no piece crosses; the sampling of all units of a block of texts runs in step, in numpy. Texts of over 512 KiB are sampled in parts of
+256 KiB, whose lattices are made one at a time, so memory beside the text and its ids is bounded.
 
 Defined results: null and empty texts have one segmentation, without pieces. Rows without key share one seed of their own. A text with fewer than k
 segmentations yields those it has. Characters outside the vocabulary become byte pieces, so decode(encode(x)) == x for every
@@ -393,10 +393,10 @@ def _sample(parts, m: int, n: int, key: np.ndarray, k: int) -> tuple[list[list[_
     return paths, lives, values, logps, threshold
 
 
-#: Bytes of text that are sampled together; a longer text is sampled in parts of about as many.
-_AT_ONCE = 1 << 20
+#: Bytes of text that are sampled together; a longer text is sampled in parts of about as many. With the units kept below, this sets the memory of a Python process.
+_AT_ONCE = 1 << 18
 #: Units whose lattice a process keeps: those of the first texts it gets, as common words come soon.
-_KEPT_UNITS = 200_000
+_KEPT_UNITS = 50_000
 _SLOTS = 20
 
 
